@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE = {
+    "op5_quality_rules": quality_rules.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
