@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, packing, quality_classifier, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op8_token_files": token_files.op8_token_files,
+    "op9_packing": packing.op9_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
