@@ -184,7 +184,8 @@ def read(manifest: DataFrame, folder: str, doc_ids: list[int] | None = None) ->
                         ids = [r.document(i) for i in rows]
                         yield pd.DataFrame({"doc_id": pd.array([r.ids[i] for i in rows], "Int64"), "start": [int(base + r.starts[i]) for i in rows], "n_tokens": [int(r.counts[i]) for i in rows], "ids_crc32": [crc32_u32(x, r.dtype) for x in ids], "ids": [np.frombuffer(x, r.dtype).astype("<u4").tobytes() for x in ids]})
 
-    return manifest.select("path", "base").repartition("path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    n = max(1, min(manifest.count(), 100_000))  # a task a file, so that reading is as parallel as writing was
+    return manifest.select("path", "base").repartition(n, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, vocab: str) -> DataFrame:

@@ -9,9 +9,11 @@ import zlib
 
 import numpy as np
 
-#: Distinct space-delimited chunks whose ids a worker remembers.
-CACHE_CHUNKS = 200_000
+#: Pieces of text whose ids a worker remembers.
+CACHE_PIECES = 400_000
 _EDGE_SPACE = re.compile(r"\s(?= )|(?<= )\s|^ | $")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
+_TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
 
 def worker_cache() -> dict:
@@ -22,13 +24,17 @@ def worker_cache() -> dict:
 class Encoder:
     """Ids of whole texts, packed as little-endian unsigned integers (2 bytes if the vocabulary allows, else 4).
 
-    Both vocabularies split text into pieces before merging, and no piece has a space after another character. So a
-    text falls into chunks at single spaces, each chunk's ids depend on it alone, and frequent chunks are looked up.
-    With keep_space (byte-level vocabulary) a space belongs to the chunk after it, which holds only where both
-    neighbours of the space are no white space; other texts are encoded whole.
+    Both vocabularies split text into pieces before merging, so ids of a piece depend on it alone and can be looked
+    up. Cuts are made only where such a split is certain: at a space or a line feed between characters that are no
+    white space, and between a word and sentence marks that end its chunk. With keep_space (byte-level vocabulary)
+    white space yields ids: a space belongs to the piece after it, a line feed stands alone; texts with white space
+    beside a space are encoded whole. Without it white space only separates.
     """
 
     def __init__(self, path: str, keep_space: bool):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -36,7 +42,8 @@ class Encoder:
         self.tok.no_truncation()
         self.keep_space = keep_space
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {} if keep_space else self.bare  # keys stand for themselves after a space
 
     @staticmethod
     def of(path: str, keep_space: bool) -> Encoder:
@@ -48,23 +55,44 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, chunk: str) -> list[tuple[bool, str]]:
+        """(whether after the chunk's leading space, piece) in order."""
+        out, lines = [], chunk.split("\n") if "\n" in chunk and _LINES.fullmatch(chunk) else [chunk]
+        for i, line in enumerate(lines):
+            if i and self.keep_space:
+                out.append((False, "\n"))
+            m = _TAIL.fullmatch(line)
+            out += [(i == 0, m[1]), (False, m[2])] if m else [(i == 0, line)]
+        return out
+
+    def _look_up(self, chunks: list[str], after: bool) -> list[bytes]:
+        memo = self.after if after else self.bare
+        out = [memo.get(c) for c in chunks]
+        if None not in out:
+            return out
+        cut = {c: [(after and first, p) for first, p in self._pieces(c)] for c, ids in zip(chunks, out) if ids is None}
+        need = list({x for pieces in cut.values() for x in pieces if x[1] not in (self.after if x[0] else self.bare)})
+        if len(self.bare) + len(self.after) + len(need) > CACHE_PIECES:
+            self.bare.clear()
+            self.after.clear()
+            need = list({x for pieces in cut.values() for x in pieces})
+            memo = {}
+        fresh = dict(zip(need, self._whole([" " + p if lead and self.keep_space else p for lead, p in need])))
+        ids_of = lambda x: fresh[x] if x in fresh else (self.after if x[0] else self.bare)[x[1]]
+        done = {c: b"".join([ids_of(x) for x in pieces]) for c, pieces in cut.items()}
+        for (lead, p), ids in fresh.items():
+            if len(p) < 64 and len(self.bare) + len(self.after) < CACHE_PIECES:
+                (self.after if lead else self.bare)[p] = ids
+        return [done[c] if c in done else ids for c, ids in zip(chunks, out)]
+
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if self.keep_space and _EDGE_SPACE.search(text):
+        if not self.keep_space:
+            return b"".join(self._look_up(text.split(" "), False))
+        if _EDGE_SPACE.search(text):
             return self._whole([text])[0]
-        chunks = text.split(" ")
-        if self.keep_space and len(chunks) > 1:
-            chunks = [chunks[0], *[" " + c for c in chunks[1:]]]
-        cache = self.cache
-        out = [cache.get(c) for c in chunks]
-        if None in out:
-            missing = list({c for c, ids in zip(chunks, out) if ids is None})
-            if len(cache) + len(missing) > CACHE_CHUNKS:
-                cache.clear()
-            fresh = dict(zip(missing, self._whole(missing)))
-            cache.update((c, ids) for c, ids in list(fresh.items())[:CACHE_CHUNKS] if len(c) < 64)
-            out = [fresh[c] if ids is None else ids for c, ids in zip(chunks, out)]
-        return b"".join(out)
+        head, *rest = text.split(" ")
+        return b"".join(self._look_up([head], False) + self._look_up(rest, True))
 
 
 def crc32_u32(ids: bytes, dtype: np.dtype) -> int:
