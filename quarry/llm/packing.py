@@ -74,7 +74,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             if len(b):
-                packed = [enc.encode(t) + end for t in b["text"]]
+                packed = [ids + end for ids in enc.encode(b["text"])]
                 points = (project([np.frombuffer(x, enc.dtype) for x in packed]) + SPAN) / (2 * SPAN) * (1 << BITS)
                 key = hilbert(np.clip(points, 0, (1 << BITS) - 1).astype(np.int64))
                 yield pd.DataFrame({"doc_id": b["doc_id"], "key": key, "ids": packed, "width": enc.dtype.itemsize})

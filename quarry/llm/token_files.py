@@ -151,12 +151,12 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int = 0, keep_space:
             return pd.DataFrame({"part": [part], "seq": [seq], "path": [name], "n_docs": [len(writer.ids)], "n_tokens": [writer.total // enc.dtype.itemsize]})
 
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            for doc_id, ids in zip(b["doc_id"], enc.encode(b["text"])):
                 if writer is None:
                     name = f"{base}/tokens-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.zst"
                     out = store.open_output_stream(name, compression=None)
                     writer = Writer(out, enc.dtype)
-                writer.add(None if pd.isna(doc_id) else int(doc_id), enc.encode(text) + end)
+                writer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
                 if writer.total >= FILE_BYTES:
                     yield done()
                     writer, seq = None, seq + 1

@@ -10,10 +10,12 @@ import zlib
 import numpy as np
 
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 400_000
-_EDGE_SPACE = re.compile(r"\s(?= )|(?<= )\s|^ | $")
-_LINES = re.compile(r"\S+(?:\n\S+)+")
-_TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+CACHE_PIECES = 900_000
+#: Words that are encoded as one string.
+JOINED = 4000
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Texts that are encoded whole (RE2): white space beside a space or line feed, either at an end, or the cut mark.
+_UNCUT = rf"^[ \n]|[ \n]\z|{_WHITE}[ \n]|[ \n]{_WHITE}|\x02"
 
 
 def worker_cache() -> dict:
@@ -26,9 +28,9 @@ class Encoder:
 
     Both vocabularies split text into pieces before merging, so ids of a piece depend on it alone and can be looked
     up. Cuts are made only where such a split is certain: at a space or a line feed between characters that are no
-    white space, and between a word and sentence marks that end its chunk. With keep_space (byte-level vocabulary)
-    white space yields ids: a space belongs to the piece after it, a line feed stands alone; texts with white space
-    beside a space are encoded whole. Without it white space only separates.
+    white space, and between a letter and the sentence marks that end its chunk. With keep_space (byte-level
+    vocabulary) white space yields ids: a space belongs to the piece after it, a line feed stands alone. Without it
+    white space only separates. Cutting and finding the distinct pieces of a batch is Arrow's work.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -42,8 +44,11 @@ class Encoder:
         self.tok.no_truncation()
         self.keep_space = keep_space
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.bare: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {} if keep_space else self.bare  # keys stand for themselves after a space
+        self.cache: dict[str, bytes] = {}
+        # What ends a word within a string of words: a line feed's id, or any id whose token ends a word.
+        ends = [self.tok.token_to_id("\u010a")] if keep_space else [i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.ends[[i for i in ends if i is not None]] = True
 
     @staticmethod
     def of(path: str, keep_space: bool) -> Encoder:
@@ -55,44 +60,60 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, chunk: str) -> list[tuple[bool, str]]:
-        """(whether after the chunk's leading space, piece) in order."""
-        out, lines = [], chunk.split("\n") if "\n" in chunk and _LINES.fullmatch(chunk) else [chunk]
-        for i, line in enumerate(lines):
-            if i and self.keep_space:
-                out.append((False, "\n"))
-            m = _TAIL.fullmatch(line)
-            out += [(i == 0, m[1]), (False, m[2])] if m else [(i == 0, line)]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, each with its leading space if there is one; many to a call."""
+        out = []
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            ids = np.array(self.tok.encode_batch_fast([("\n" if self.keep_space else " ").join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(self.ends[ids])
+            if self.keep_space:
+                first, last = np.r_[0, cut + 1], np.r_[cut, len(ids)]
+            else:
+                first, last = np.r_[0, cut[:-1] + 1], cut + 1
+            out += [ids[i:j].tobytes() for i, j in zip(first, last)] if len(first) == len(part) else self._whole(part)
         return out
 
-    def _look_up(self, chunks: list[str], after: bool) -> list[bytes]:
-        memo = self.after if after else self.bare
-        out = [memo.get(c) for c in chunks]
-        if None not in out:
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        out = [self.cache.get(p) for p in pieces]
+        need = [p for p, ids in zip(pieces, out) if ids is None]
+        if not need:
             return out
-        cut = {c: [(after and first, p) for first, p in self._pieces(c)] for c, ids in zip(chunks, out) if ids is None}
-        need = list({x for pieces in cut.values() for x in pieces if x[1] not in (self.after if x[0] else self.bare)})
-        if len(self.bare) + len(self.after) + len(need) > CACHE_PIECES:
-            self.bare.clear()
-            self.after.clear()
-            need = list({x for pieces in cut.values() for x in pieces})
-            memo = {}
-        fresh = dict(zip(need, self._whole([" " + p if lead and self.keep_space else p for lead, p in need])))
-        ids_of = lambda x: fresh[x] if x in fresh else (self.after if x[0] else self.bare)[x[1]]
-        done = {c: b"".join([ids_of(x) for x in pieces]) for c, pieces in cut.items()}
-        for (lead, p), ids in fresh.items():
-            if len(p) < 64 and len(self.bare) + len(self.after) < CACHE_PIECES:
-                (self.after if lead else self.bare)[p] = ids
-        return [done[c] if c in done else ids for c, ids in zip(chunks, out)]
-
-    def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if not self.keep_space:
-            return b"".join(self._look_up(text.split(" "), False))
-        if _EDGE_SPACE.search(text):
-            return self._whole([text])[0]
-        head, *rest = text.split(" ")
-        return b"".join(self._look_up([head], False) + self._look_up(rest, True))
+        words = [p for p in need if p.lstrip(" ").isalpha()]
+        other = [p for p in need if not p.lstrip(" ").isalpha()]
+        fresh = dict(zip(words, self._words(words))) | dict(zip(other, self._whole(other)))
+        if len(self.cache) + len(fresh) > CACHE_PIECES:
+            self.cache.clear()
+        if len(fresh) < CACHE_PIECES:
+            self.cache.update((p, ids) for p, ids in fresh.items() if len(p) < 64)
+        return [fresh[p] if ids is None else ids for p, ids in zip(pieces, out)]
+
+    def encode(self, texts) -> list[bytes]:
+        """Packed ids of each text; null counts as empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = [t if isinstance(t, str) else "" for t in texts]
+        arr = pa.array(texts, pa.large_string())
+        whole = np.flatnonzero(pc.match_substring_regex(arr, _UNCUT))
+        done = dict(zip(whole.tolist(), self._whole([texts[i] for i in whole])))
+        rest = np.setdiff1d(np.arange(len(texts)), whole)
+        if len(rest):
+            cut = pc.replace_substring_regex(arr.take(pa.array(rest)), r"(\pL)([.,;:!?]+)([ \n]|\z)", "\\1\x02\\2\\3")
+            cut = pc.replace_substring(cut, "\n", "\x02\n\x02" if self.keep_space else "\x02")
+            split = pc.split_pattern(pc.replace_substring(cut, " ", "\x02 " if self.keep_space else "\x02"), "\x02")
+            bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+            coded = split.flatten().dictionary_encode()
+            codes, ids = coded.indices.to_numpy().astype(np.int64), self._look_up(coded.dictionary.to_pylist())
+            size = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+            begin, flat = np.r_[0, np.cumsum(size)[:-1]], np.frombuffer(b"".join(ids), self.dtype)
+            n = size[codes]
+            ends = np.cumsum(n)
+            out = flat[np.repeat(begin[codes] - (ends - n), n) + np.arange(int(ends[-1]))] if len(n) else flat[:0]
+            at = np.r_[0, ends][bounds]
+            done |= {int(i): out[x:y].tobytes() for i, x, y in zip(rest, at[:-1], at[1:])}
+        return [done[i] for i in range(len(texts))]
 
 
 def crc32_u32(ids: bytes, dtype: np.dtype) -> int:
