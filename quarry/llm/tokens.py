@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 250_000
 #: Words that are encoded as one string.
 JOINED = 4000
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -113,6 +113,8 @@ class Encoder:
             out = flat[np.repeat(begin[codes] - (ends - n), n) + np.arange(int(ends[-1]))] if len(n) else flat[:0]
             at = np.r_[0, ends][bounds]
             done |= {int(i): out[x:y].tobytes() for i, x, y in zip(rest, at[:-1], at[1:])}
+            del arr, cut, split, coded
+            pa.default_memory_pool().release_unused()
         return [done[i] for i in range(len(texts))]
 
 
