@@ -89,7 +89,7 @@ def model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("y", "text").mapInPandas(run, "y double, x array<double>").limit(2 * sample_rows).toPandas()
     if len(rows) < 10 or rows["y"].nunique() < 2:
-        return np.zeros(3 * len(FEATURES)), 2.0  # nothing to learn from: no evidence, all stay
+        return np.r_[np.zeros(3 * len(FEATURES) - 1), 2.0], 2.0  # nothing to learn from: no evidence, all stay
     y = (rows["y"].to_numpy() > 0).astype(float)
     base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     return fit(expand(np.array(rows["x"].tolist())), y), math.log(base / (1 - base))

@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
 #: Members of a list up to which all its pairs are tallied; above it, blocks of BLOCK members are linked by spanning forests.
-SMALL, BLOCK = 48, 1024
+SMALL, BLOCK = 6, 512
 SHINGLES_AT_ONCE = 50_000
 
 
@@ -170,12 +171,17 @@ def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -
     short = met.filter("b is not null").select("a", "b").distinct().join(left, "a").join(right, "b").filter(verified("fp_a", "fp_b")).select("a", "b")
 
     def forest(batches):
-        for b in batches:
-            out = []
-            for rows in b["rows"]:
-                fp = np.frombuffer(b"".join(r["fp"] for r in rows), np.uint64).reshape(len(rows), -1)
-                out += _forest(np.array([r["node"] for r in rows], np.int64), fp, max_bits)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for b in batches:  # Arrow: lists of one node and fingerprint each, of equal width
+            lists, out = b.column(0), []
+            packed, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            if not len(packed):
+                continue
+            raw = np.frombuffer(b"".join(x.as_buffer() for x in packed), np.uint8).reshape(len(packed), -1)
+            nodes, fp = np.ascontiguousarray(raw[:, :8]).view(">i8").ravel().astype(np.int64), np.ascontiguousarray(raw[:, 8:]).view(np.uint64)
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                out += _forest(nodes[i:j], fp[i:j], max_bits)
+            ends = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"a": ends[:, 0], "b": ends[:, 1]})
 
     members = met.filter("b is null").select("key", F.col("a").alias("node"), "block")
     last = members.groupBy("key").agg(F.max("block").alias("last"))
@@ -184,9 +190,9 @@ def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -
         .join(reps.select("node", "fp"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
         .groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .agg(F.collect_list(F.struct("node", "fp")).alias("rows"))
+        .agg(F.collect_list(F.concat(F.unhex(F.lpad(F.hex("node"), 16, "0")), "fp")).alias("rows"))
         .select("rows")
-        .mapInPandas(forest, "a long, b long")
+        .mapInArrow(forest, "a long, b long")
     )
     return short.unionByName(long).distinct()
 
