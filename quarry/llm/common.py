@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of finished steps, which it does when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def at_most(df: DataFrame, bound: int) -> bool:
     """Whether df has at most bound rows; reads no more than bound + 1 of them."""
     return df.limit(bound + 1).count() <= bound
