@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 #: Members of a list up to which all its pairs are tallied; above it, blocks of BLOCK members are linked by spanning forests.
-SMALL, BLOCK = 6, 512
+SMALL, BLOCK = 2, 512
 SHINGLES_AT_ONCE = 50_000
 
 

@@ -13,6 +13,8 @@ import numpy as np
 CACHE_PIECES = 250_000
 #: Words that are encoded as one string.
 JOINED = 4000
+#: Characters that are cut and encoded at once.
+CHARS = 2_000_000
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Texts that are encoded whole (RE2): white space beside a space or line feed, either at an end, or the cut mark.
 _UNCUT = rf"^[ \n]|[ \n]\z|{_WHITE}[ \n]|[ \n]{_WHITE}|\x02"
@@ -90,11 +92,21 @@ class Encoder:
         return [fresh[p] if ids is None else ids for p, ids in zip(pieces, out)]
 
     def encode(self, texts) -> list[bytes]:
-        """Packed ids of each text; null counts as empty."""
+        """Packed ids of each text; null counts as empty. At most CHARS characters, or one text, are worked on at once."""
+        out, part, size = [], [], 0
+        for t in texts:
+            t = t if isinstance(t, str) else ""
+            if part and size + len(t) > CHARS:
+                out += self._encode(part)
+                part, size = [], 0
+            part.append(t)
+            size += len(t)
+        return out + self._encode(part) if part else out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        texts = [t if isinstance(t, str) else "" for t in texts]
         arr = pa.array(texts, pa.large_string())
         whole = np.flatnonzero(pc.match_substring_regex(arr, _UNCUT))
         done = dict(zip(whole.tolist(), self._whole([texts[i] for i in whole])))
