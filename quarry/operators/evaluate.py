@@ -118,26 +118,28 @@ def bucket(value: Column, edges: list[float]) -> Column:
 
 
 def validate(answers: DataFrame, query_ids: DataFrame, corpus_ids: DataFrame, k: int = 50) -> DataFrame:
-    """(rule, violations) for an answer table (query_id, answer: k ids split by one space)."""
-    a = answers.withColumn("ids", F.split("answer", " "))
-    asked, known = query_ids.select("query_id").distinct(), corpus_ids.select("item_id").distinct()
-    held = a.select("query_id", F.explode("ids").alias("item_id"))
-    columns = int(answers.columns != ["query_id", "answer"])
-    one = answers.agg(F.lit(columns).cast("long").alias("violations")).select(F.lit("columns").alias("rule"), "violations")
-    count = lambda df, rule: df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-    rules = [
-        one,
-        count(a.groupBy("query_id").count().filter("count > 1"), "query id repeated"),
-        count(a.select("query_id").distinct().join(asked, "query_id", "left_anti"), "query id unknown"),
-        count(asked.join(a.select("query_id"), "query_id", "left_anti"), "query id missing"),
-        count(a.filter(F.col("answer").isNull() | (F.size("ids") != k)), "number of ids"),
-        count(a.filter(F.size(F.array_distinct("ids")) != F.size("ids")), "id repeated in an answer"),
-        count(held.join(known, "item_id", "left_anti"), "id outside the corpus"),
-    ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
+    """(rule, violations) for an answer table (query_id, answer: k ids split by one space).
+
+    Answers are read twice: once a query for the rules on rows, once an id for the rule on the corpus.
+    """
+    a = answers.select("query_id", F.col("answer").isNull().alias("none"), F.split("answer", " ").alias("ids"))
+    wrong = F.coalesce(F.col("none") | (F.size("ids") != k), F.lit(True))
+    twice = F.coalesce(F.size(F.array_distinct("ids")) != F.size("ids"), F.lit(False))
+    per = a.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"), F.count_if(twice).alias("twice"))
+    asked = query_ids.select("query_id").distinct().withColumn("asked", F.lit(1))
+    rules = {
+        "columns": F.max(F.lit(int(answers.columns != ["query_id", "answer"]))),
+        "query id repeated": F.count_if(F.col("n") > 1),
+        "query id unknown": F.count_if(F.col("n").isNotNull() & F.col("asked").isNull()),
+        "query id missing": F.count_if(F.col("asked").isNotNull() & F.col("n").isNull()),
+        "number of ids": F.sum("wrong"),
+        "id repeated in an answer": F.sum("twice"),
+    }
+    row = per.join(asked, "query_id", "full_outer").agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(f"r{i}") for i, v in enumerate(rules.values())])
+    rows = row.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"r{i}").alias("violations")) for i, r in enumerate(rules)])).alias("r")).select("r.*")
+    known = corpus_ids.select("item_id").distinct()
+    outside = a.select(F.explode("ids").alias("item_id")).join(known, "item_id", "left_anti").agg(F.count("*").alias("violations"))
+    return rows.unionByName(outside.select(F.lit("id outside the corpus").alias("rule"), "violations"))
 
 
 def same_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
