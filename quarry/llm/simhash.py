@@ -19,12 +19,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
 
-#: Members of a list up to which all its pairs are tallied; above it, blocks of BLOCK members are linked by spanning forests.
-SMALL, BLOCK = 2, 512
+#: Triples whose lists join large groups first; members of a block, within and between which links are spanning forests.
+FIRST, BLOCK = 16, 512
 SHINGLES_AT_ONCE = 50_000
 
 
@@ -102,64 +102,25 @@ def _forest(nodes: np.ndarray, fp: np.ndarray, max_bits: int) -> list[tuple[int,
     return out
 
 
-def _met(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["key", "a", "b", "block"], dtype=object).astype("Int64")
-
-
-def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -> DataFrame:
-    """(a, b): links among distinct fingerprints, given one (node long, fp binary) row each.
-
-    Within a long list only a spanning forest of its links is returned, so components are those of all links.
-    """
-    spark, cols = reps.sparkSession, np.array(triples)
+def _postings(reps: DataFrame, triples: list[tuple[int, int, int]]) -> DataFrame:
+    """(key, node, label): each fingerprint of reps (node, fp, label) in the list of each triple's bytes."""
+    cols = np.array(triples)
 
     def post(batches):
         for b in batches:
             if len(b):
                 m = np.frombuffer(b"".join(b["fp"]), np.uint8).reshape(len(b), -1).astype(np.int64)
                 key = (m[:, cols[:, 0]] << 16) | (m[:, cols[:, 1]] << 8) | m[:, cols[:, 2]] | (np.arange(len(cols))[None, :] << 24)
-                yield pd.DataFrame({"key": key.ravel(), "node": np.repeat(b["node"].to_numpy(), len(cols))})
+                yield pd.DataFrame({"key": key.ravel(), **{c: np.repeat(b[c].to_numpy(), len(cols)) for c in ("node", "label")}})
 
-    def meet(batches):
-        """Over a sorted partition: pairs of short lists, members of long ones with their block; holds SMALL rows at most."""
-        key, held, n = None, [], 0  # n: members of the open list so far
+    return reps.select("node", "fp", "label").mapInPandas(post, "key long, node long, label long")
 
-        def flush(out):
-            if 1 < n <= SMALL:
-                out += [(None, x, y, None) for x, y in itertools.combinations(sorted(held), 2)]
 
-        for b in batches:
-            k, v, out = b["key"].to_numpy(), b["node"].to_numpy(), []
-            edges = np.flatnonzero(np.diff(k)) + 1
-            starts, ends = np.r_[0, edges], np.r_[edges, len(k)]
-            inner = (ends - starts > 1) | (starts == 0) | (ends == len(k))  # a lone row inside a batch meets nobody
-            for s, e in zip(starts[inner], ends[inner]):
-                if key is None or k[s] != key:
-                    flush(out)
-                    key, held, n = int(k[s]), [], 0
-                for x in v[s:e].tolist():
-                    n += 1
-                    if n <= SMALL:
-                        held.append(x)
-                        continue
-                    if n == SMALL + 1:
-                        out += [(key, y, None, 0) for y in held]
-                        held = []
-                    out.append((key, x, None, (n - 1) // BLOCK))
-            if out:
-                yield _met(out)
-        out = []
-        flush(out)
-        if out:
-            yield _met(out)
-
-    met = common.stored(
-        reps.mapInPandas(post, "key long, node long").repartition("key").sortWithinPartitions("key").mapInPandas(meet, "key long, a long, b long, block long"),
-        "simhash-met",
-    )
+def _verified(pairs: DataFrame, reps: DataFrame, max_bits: int) -> DataFrame:
+    """The pairs (a, b) with the guaranteed number of shared bytes (the tally) and at most max_bits differing bits."""
 
     @F.pandas_udf("boolean")
-    def verified(x: pd.Series, y: pd.Series) -> pd.Series:
+    def close(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=bool)
         diff = _bits(x) ^ _bits(y)
@@ -168,7 +129,36 @@ def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -
         return pd.Series((shared >= n_bytes - max_bits) & (np.bitwise_count(diff).sum(1) <= max_bits))
 
     left, right = (reps.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")) for n in "ab")
-    short = met.filter("b is not null").select("a", "b").distinct().join(left, "a").join(right, "b").filter(verified("fp_a", "fp_b")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(close("fp_a", "fp_b")).select("a", "b")
+
+
+def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -> DataFrame:
+    """(a, b): links among distinct fingerprints, given one (node long, fp binary) row each; components are those of all links.
+
+    First, in the lists of a few triples, each member is verified against its list's first member and its predecessor:
+    rows in proportion to the input, which already joins large groups of near copies. Their component is the label of
+    the second pass. That one goes through all lists and compares all members that differ in label, so no link between
+    two labels is lost; lists of one label need nothing. Lists of two are verified as pairs. Longer ones are sorted by
+    label and cut into blocks; two blocks meet unless both hold one and the same label.
+    """
+    w = Window.partitionBy("key")
+    first = _postings(reps.withColumn("label", F.col("node")), triples[:FIRST])
+    first = first.select("node", F.lag("node").over(w.orderBy("node")).alias("prev"), F.min("node").over(w.orderBy("node")).alias("low")).filter("prev is not null")
+    first = first.select(F.explode(F.array_distinct(F.array("low", "prev"))).alias("a"), F.col("node").alias("b")).distinct()
+    star = common.connected_components(_verified(first, reps, max_bits)).select("node", F.col("root").alias("label"))
+    labelled = common.stored(reps.join(star, "node", "left").withColumn("label", F.coalesce("label", "node")), "simhash-labels")
+
+    ordered = w.orderBy("label", "node")
+    members = _postings(labelled, triples).select(
+        "key", "node", "label",
+        F.row_number().over(ordered).alias("at"),
+        F.count("*").over(w).alias("n"),
+        F.min("label").over(w).alias("low"),
+        F.max("label").over(w).alias("high"),
+        F.lag("node").over(ordered).alias("prev"),
+    ).filter("low < high and (n > 2 or prev is not null)")
+    members = common.stored(members, "simhash-met")
+    short = _verified(members.filter("n = 2").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct(), reps, max_bits)
 
     def forest(batches):
         for b in batches:  # Arrow: lists of one node and fingerprint each, of equal width
@@ -183,18 +173,21 @@ def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -
             ends = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({"a": ends[:, 0], "b": ends[:, 1]})
 
-    members = met.filter("b is null").select("key", F.col("a").alias("node"), "block")
-    last = members.groupBy("key").agg(F.max("block").alias("last"))
+    blocks = members.filter("n > 2")
+    runs = blocks.groupBy("key", "label").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter(F.col("hi") - F.col("lo") >= BLOCK - 1)
+    runs = runs.select("key", "label", F.ceil((F.col("lo") - 1) / BLOCK).alias("lo"), (F.floor(F.col("hi") / BLOCK) - 1).alias("hi"))  # blocks of that label only
+    blocks = blocks.join(runs, ["key", "label"], "left").withColumn("block", F.expr(f"(at - 1) div {BLOCK}")).withColumn("last", F.expr(f"(n - 1) div {BLOCK}"))
+    others = F.expr("case when block between lo and hi then filter(sequence(0, last), x -> x < lo or x > hi) else sequence(0, last) end")
     long = (
-        members.join(last, "key")
+        blocks.select("key", "node", "block", F.explode(others).alias("other"))
         .join(reps.select("node", "fp"), "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
         .groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .agg(F.collect_list(F.concat(F.unhex(F.lpad(F.hex("node"), 16, "0")), "fp")).alias("rows"))
         .select("rows")
         .mapInArrow(forest, "a long, b long")
     )
-    return short.unionByName(long).distinct()
+    joined = labelled.filter("label < node").select(F.col("label").alias("a"), F.col("node").alias("b"))
+    return joined.unionByName(short).unionByName(long).distinct()
 
 
 def components(docs: DataFrame, ngram: int = 3, n_bits: int = 64, max_bits: int = 3, triples: list[tuple[int, int, int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

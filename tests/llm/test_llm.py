@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 public = pytest.importorskip("public_tokenizers")
-from quarry.llm import decontaminate, licenses, packing, passages, pii, quality_classifier, quality_rules, simhash, token_files, warc  # noqa: E402
+from quarry.llm import common, decontaminate, licenses, packing, passages, pii, quality_classifier, quality_rules, simhash, token_files, warc  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, key string, w string, fp string"
 
@@ -42,12 +42,33 @@ def test_long_lists_lose_no_link(spark):
         fp[rng.randint(64)] ^= 1 << rng.randint(8)
         rows.append((i, bytes(fp)))
     reps = spark.createDataFrame(rows, "node long, fp binary").dropDuplicates(["fp"])
-    from quarry.llm import common
-
     comp = common.connected_components(simhash.links(reps, simhash.spread_triples(64, 12), 102)).collect()
     assert len({r["root"] for r in comp}) == 1 and len(comp) == reps.count()
 
 
+def test_mixed_long_list_keeps_links_between_labels(spark, monkeypatch):
+    """A list of tight groups, strangers and chains, cut into many blocks, has the components of all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.RandomState(5)
+    bits = [rng.randint(0, 2, 512) for _ in range(4)]
+    rows = []
+    for n, (base, size, flips) in enumerate(zip([0, 0, 1, 2, 3], [60, 30, 20, 1, 1], [4, 80, 90, 0, 0])):
+        for _ in range(size):
+            x = bits[base].copy()
+            x[24 + rng.choice(488, flips, replace=False)] ^= 1
+            x[:24] = 1  # all meet in one list
+            rows.append(x)
+    fps = [np.packbits(x).tobytes() for x in rows]
+    reps = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(fps)], "node long, fp binary")
+    found = simhash.links(reps, [(0, 1, 2)], 102)
+    root = {r["node"]: r["root"] for r in common.connected_components(found).collect()}
+    near = lambda a, b: (rows[a] != rows[b]).sum() <= 102
+    want = list(range(len(rows)))
+    for _ in range(len(rows)):
+        want = [min([want[i]] + [want[j] for j in range(len(rows)) if near(i, j)]) for i in range(len(rows))]
+    assert [root.get(i, i) for i in range(len(rows))] == want
+
+
 def test_near_duplicates_keep_one(spark):
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, EDGE)).collect()}
     assert kept == {0, 3, 4, 5, None}
