@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import geo, text as X
 from ..operators import channels as C, evaluate as E, instances as I, rank as K
 from ..sources import roles as R
+from ..sources.intermediate import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -302,9 +303,10 @@ WEIGHTS = {"logs": 2.0, "pop_loc": 0.5}
 
 def _candidates(spark, sf):
     q, h, items, corpus = _world(spark, sf)
-    q, h = q.persist(), h.persist()
-    near, pop = C.neighbours(q, h).persist(), C.popularity(h)
-    return q, C.union_channels([C.logs(q, near, h, corpus), C.pop_loc(q, corpus, pop)]).persist(), (h, items, corpus, near, pop)
+    q, h = stored(q, "queries"), stored(h, "history")
+    near, pop = stored(C.neighbours(q, h), "neighbours"), C.popularity(h)
+    c = stored(C.union_channels([C.logs(q, near, h, corpus), C.pop_loc(q, corpus, pop)]), "candidates")
+    return q, c, (h, items, corpus, near, pop)
 
 
 @query("o101_candidates", f"WITH {_PARTS}, {_NEAR}, {_POPLOC}, {_CAND} SELECT channel, count(*) AS n, round(sum(score), 4) AS total FROM cand GROUP BY channel")
@@ -548,7 +550,7 @@ def o137(spark, sf):
 @query("o140_out_of_fold")
 def o140(spark, sf):
     _, d = _pairs(spark, sf)
-    return K.out_of_fold(d.persist(), FEATURES, n=2, trees=4, depth=3).select("qid", "item_id", "label", "score")
+    return K.out_of_fold(stored(d, "pairs"), FEATURES, n=2, trees=4, depth=3).select("qid", "item_id", "label", "score")
 
 
 _TOP = "tp AS (SELECT qid, item_id, score AS first_score, rank AS first_rank, round(CAST('0x' || substr(md5(qid || '|' || item_id), 1, 4) AS BIGINT) / 65536.0, 3) AS ce_score FROM fused)"
