@@ -43,15 +43,8 @@ def postings(docs: DataFrame, terms: DataFrame, around: int) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, bench: DataFrame, width: int = WINDOW, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", slop: int = 4) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
-
-    n_near_items counts items with a window of which all words but two occur within `slop` words of where the rarest
-    one puts them, in any order (proximity match; exact matches count too). Null or wordless text: zeros and the hash
-    of the empty string. Rows are told apart by id and text, so repeated rows repeat, and rows with null id are kept.
-    Items with null id count as no item; null benchmark texts and an empty benchmark match nothing. Other columns are
-    ignored.
-    """
+def occurrences(docs: DataFrame, bench: DataFrame, width: int, id_col: str, text_col: str, item_col: str, bench_text: str, slop: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc_key, w) of each row of docs, and its postings of the windows' rarest terms, `exact` where the window stands."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keyed = base.select("doc_id", F.xxhash64("text", F.length("text")).alias("doc_key"), words(F.col("text")).alias("w"))
     win = common.stored(windows(bench, width, item_col, bench_text), "decon-windows")
@@ -64,9 +57,22 @@ def scan(docs: DataFrame, bench: DataFrame, width: int = WINDOW, min_items: int
     anchors = common.stored(terms.groupBy("win").agg(rarest, F.first("items").alias("items")).filter("r.n > 0").select("win", "items", "r.offset", "r.term"), "decon-anchors")
 
     found = postings(keyed, small(anchors.select("term").distinct()), width - 1 + slop).join(small(anchors), "term")
-    at, exact = F.col("left") - F.col("offset"), F.expr("slice(around, left - offset + 1, size(win)) = win")
+    exact = F.expr("if(left >= offset, slice(around, greatest(left - offset, 0) + 1, size(win)) = win, false)")
+    return keyed, found.withColumn("exact", exact)
+
+
+def scan(docs: DataFrame, bench: DataFrame, width: int = WINDOW, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", slop: int = 4) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
+
+    n_near_items counts items with a window of which all words but two occur within `slop` words of where the rarest
+    one puts them, in any order (proximity match; exact matches count too). Null or wordless text: zeros and the hash
+    of the empty string. Rows are told apart by id and text, so repeated rows repeat, and rows with null id are kept.
+    Items with null id count as no item; null benchmark texts and an empty benchmark match nothing. Other columns are
+    ignored.
+    """
+    keyed, found = occurrences(docs, bench, width, id_col, text_col, item_col, bench_text, slop)
     near = F.expr(f"size(array_intersect(win, slice(around, greatest(left - offset - {slop}, 0) + 1, size(win) + 2 * {slop}))) >= size(array_distinct(win)) - 2")
-    found = found.withColumn("exact", (at >= 0) & F.expr("if(left >= offset, slice(around, greatest(left - offset, 0) + 1, size(win)) = win, false)")).withColumn("near", F.expr("size(win) > 4") & near | F.col("exact"))
+    found = found.withColumn("near", F.expr("size(win) > 4") & near | F.col("exact"))
     hits = (
         found.filter("exact or near")
         .groupBy("doc_id", "doc_key")
@@ -96,10 +102,27 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def contained(docs: DataFrame, bench: DataFrame, min_hit: int = 16) -> DataFrame:
+    """(doc_id, item): items of which a document holds enough words, counted for each item by itself.
+
+    The item's words that lie in its windows found in the document are counted. Enough are min_hit, or in shorter items
+    as many as are left in windows when one word of the item is changed (all but WINDOW), but at least one window.
+    """
+    w = bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter("item is not null and size(w) > 0")
+    w = w.select("item", F.xxhash64("w").alias("text"), "w", F.size("w").alias("n")).distinct()
+    places = w.select("item", "text", "n", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))).alias("s"))
+    places = places.select("item", "text", "n", "s", F.expr(f"slice(w, s + 1, {WINDOW})").alias("win"))
+    _, found = occurrences(docs, bench, WINDOW, "doc_id", "text", "item_id", "text", 0)
+    hits = found.filter("exact").select("doc_id", "doc_key", "win").distinct().join(common.small(common.stored(places, "decon-places"), BROADCAST_ROWS), "win")
+    held = hits.groupBy("doc_id", "doc_key", "item", "text", "n").agg(F.collect_set(F.struct("s", (F.col("s") + F.size("win")).alias("e"))).alias("spans"))
+    n_hit = F.expr("aggregate(array_sort(spans), struct(0 as n, 0 as e), (a, x) -> struct(a.n + greatest(x.e - greatest(x.s, a.e), 0) as n, greatest(a.e, x.e) as e), a -> a.n)")
+    return held.filter(n_hit >= F.expr(f"least({min_hit}, greatest(n - {WINDOW}, least(n, {WINDOW})))")).select("doc_id", "item").distinct()
+
+
 def drop_contaminated(docs: DataFrame, bench: DataFrame, min_items: int = 1, min_hit: int = 16) -> DataFrame:
-    """docs without those that hold windows of at least min_items items over at least min_hit words, the stage's rule."""
-    found = scan(docs, bench, min_items=min_items).filter(f"n_items >= {min_items} and n_hit >= {min_hit}")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    """docs without those that contain at least min_items items (`contained`), the stage's rule."""
+    found = contained(docs, bench, min_hit).groupBy("doc_id").count().filter(f"count >= {min_items}")
+    return docs.join(found.select("doc_id"), "doc_id", "left_anti")
 
 
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""

@@ -173,3 +173,16 @@ def test_classifier_learns(spark):
     labels = spark.createDataFrame([(i, int(i < 60), 0) for i, _ in (good + bad)[::2]], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"] for r in quality_classifier.drop_low_quality(docs(spark, good + bad), labels).collect()}
     assert kept == set(range(60))
+
+
+def test_decontamination_measures_each_item(spark):
+    """Short items contained once and items with one changed word drop their document; windows of two items do not add up."""
+    word = lambda p, k: [f"{p}{i}" for i in range(k)]
+    items = [word(p, k) for p, k in [("a", 8), ("b", 12), ("c", 15), ("d", 3), ("e", 16), ("f", 20), ("g", 40), ("h", 40)]]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    around = lambda *parts: " ".join([*word("x", 9), *itertools.chain(*[[*p, *word("y", 9)] for p in parts])])
+    changed = lambda w, at: [*w[:at], "changed", *w[at + 1 :]]
+    bad = [around(w) for w in items] + [around(changed(w, at)) for w in items[4:6] for at in (0, 7, 8)]
+    clean = [around(items[6][:8], items[7][:8]), around(items[6][:8], items[6][:8]), around(items[5][:8]), around(items[0][:7])]
+    rows = docs(spark, list(enumerate(bad + clean)))
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(rows, bench).collect()} == set(range(len(bad), len(bad + clean)))
