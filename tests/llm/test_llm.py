@@ -186,3 +186,21 @@ def test_decontamination_measures_each_item(spark):
     clean = [around(items[6][:8], items[7][:8]), around(items[6][:8], items[6][:8]), around(items[5][:8]), around(items[0][:7])]
     rows = docs(spark, list(enumerate(bad + clean)))
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(rows, bench).collect()} == set(range(len(bad), len(bad + clean)))
+
+
+def test_passages_that_agree_in_one_hash_are_found(spark):
+    """Passages of Jaccard 45 / 55 that share one of the four min-hashes are reported."""
+    least = passages.MIN_WORDS - passages.NGRAM + 1
+
+    def agree(a, b):
+        keys = lambda t, j: {int(v[c]) for v in [passages._mix(passages.shingles(t), j + 1)] for _, c, _ in passages.compact_windows(v, least)}
+        return sum(bool(keys(a, j) & keys(b, j)) for j in range(4))
+
+    def pair(seed):
+        w = [f"q{seed}x{i}" for i in range(54)]
+        return " ".join(w), " ".join([*w[:26], "changed", *w[27:]])
+
+    seeds = [s for s in range(600) if agree(*pair(s)) == 1][:3]
+    assert len(seeds) == 3
+    rows = docs(spark, [(2 * n + i, t) for n, s in enumerate(seeds) for i, t in enumerate(pair(s))])
+    assert {r["doc_id"] for r in passages.repeats(rows).collect()} == set(range(6))
