@@ -64,16 +64,21 @@ def small(df: DataFrame, bound: int = 100_000) -> DataFrame:
     return F.broadcast(df) if at_most(df, bound) else df
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each end of an edge (a, b); root is the smallest node reachable.
 
     Alternating large-star and small-star steps; hubs are handled by partial aggregation and splittable joins,
-    and each round is checkpointed in the shared folder. Null ends and loops are ignored.
+    and each round is checkpointed in the shared folder. Null ends and loops are ignored. Rounds go on until nothing
+    changes; their number grows with the logarithm of the longest chain.
     """
     shared_dir(edges.sparkSession)
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct().checkpoint()
-    seen = None
-    for _ in range(max_rounds):
+    while True:
+        # Settled when no node is both a root and below one.
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("s")), F.struct(F.col("b").alias("n"), F.lit(2).alias("s")))).alias("x"))
+        held = e.groupBy("b").count().filter("count > 1").select(F.col("b").alias("n")).unionByName(ends.select("x.*").groupBy("n").agg(F.bit_or("s").alias("s")).filter("s = 3").select("n"))
+        if held.isEmpty():
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
@@ -86,11 +91,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
             .checkpoint()
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = e.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return nodes.unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

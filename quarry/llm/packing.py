@@ -1,8 +1,10 @@
 """Packing along a space-filling curve.
 
-A document's token ids are hashed into a vector, projected to DIMS numbers and placed on a Hilbert curve. Range
-partitions of that key hold neighbouring documents, which are laid end to end into sequences of LIMIT tokens. What
-is left at a partition's end is cut into sequences whose lengths are powers of two, which need no padding.
+A document's token ids are hashed into a vector, projected to DIMS numbers and placed on a Hilbert curve. The curve is
+cut into parts of about PART_TOKENS tokens; documents of a part, neighbours on the curve, are laid end to end into
+sequences of LIMIT tokens. What is left at a part's end is cut into sequences whose lengths are powers of two, which
+need no padding. The cuts follow from the exact number of tokens in each of 2 ** CELL_BITS cells of the curve, so a run
+on the same table gives the same sequences; a cell with more tokens than a part (copies, say) is dealt over several.
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
-from .tokens import Encoder, crc32_u32, vocabulary
+from .tokens import CACHE_PIECES, Encoder, crc32_u32, vocabulary
 
 LIMIT, BUCKETS, DIMS, BITS, SPAN = 4096, 256, 4, 12, 4.0
+#: Tokens of a part at least; more where there would be over MOST_PARTS parts. Cells of the curve, whose sums the driver gets.
+PART_TOKENS, MOST_PARTS, CELL_BITS = 1_000_000, 20_000, 16
 
 
 def project(ids: list[np.ndarray], seed: int = 3) -> np.ndarray:
@@ -61,16 +64,34 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_space: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def parts(cells: list[tuple[int, int]], least: int = PART_TOKENS) -> list[tuple[int, int, int]]:
+    """(cell, first part, parts of the cell) from (cell, tokens): small neighbouring cells share a part."""
+    least = max(least, -(-sum(n for _, n in cells) // MOST_PARTS))
+    out, part, filled = [], 0, 0
+    for cell, n in sorted(cells):
+        if n > least:
+            part += filled > 0
+            k = -(-n // least)
+            out.append((cell, part, k))
+            part, filled = part + k, 0
+            continue
+        out.append((cell, part, 1))
+        filled += n
+        if filled >= least:
+            part, filled = part + 1, 0
+    return out
+
+
+def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_space: bool = False, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHE_PIECES, part_tokens: int = PART_TOKENS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, ids): one row a piece.
 
     Each id of each row lies in exactly one piece. Null text counts as empty (one piece of the end id). Null ids stay
     null, repeated rows are packed as often as they occur, other columns are ignored. Ties on the curve go by id and
-    text hash, so equal documents spread over partitions. An empty table gives no row.
+    text hash. An empty table gives no row. pieces: how many pieces of text a worker remembers the ids of.
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder.of(vocab, keep_space)
+        enc = Encoder.of(vocab, keep_space, pieces)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             if len(b):
@@ -80,12 +101,17 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_
                 yield pd.DataFrame({"doc_id": b["doc_id"], "key": key, "ids": packed, "width": enc.dtype.itemsize})
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    d = common.stored(d.mapInPandas(encode, "doc_id long, key long, ids binary, width int"), "packing-ids")
-    d = d.repartitionByRange("key", "doc_id", F.xxhash64("ids")).sortWithinPartitions("key", "doc_id", F.xxhash64("ids"))
+    d = d.mapInPandas(encode, "doc_id long, key long, ids binary, width int")
+    d = d.select("*", F.xxhash64("ids").alias("tie"), F.shiftright("key", DIMS * BITS - CELL_BITS).alias("cell"), F.expr("length(ids) div width").alias("n"))
+    d = common.stored(d.withColumn("row", F.monotonically_increasing_id()), "packing-ids")
+    cells = [tuple(r) for r in d.groupBy("cell").agg(F.sum("n")).collect()]  # at most 2 ** CELL_BITS rows
+    where = F.broadcast(d.sparkSession.createDataFrame(parts(cells, part_tokens), "cell long, first long, k long"))
+    d = d.join(where, "cell").withColumn("part", F.col("first") + F.when(F.col("k") > 1, F.expr("pmod(xxhash64(doc_id, tie, row), k)")).otherwise(0))
+    d = d.select("part", "key", "doc_id", "tie", "ids", "width").repartitionByRange("part").sortWithinPartitions("part", "key", "doc_id", "tie")
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "ids"]
-        number = TaskContext.get().partitionId() << 40
+        current, number = None, 0
         open_, filled, width = [], 0, 2  # pieces of the sequence being filled: (doc_id, start, ids, doc_tokens)
 
         def close(pieces: list[tuple], size: int) -> list[tuple]:
@@ -98,12 +124,32 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_
             number += 1
             return out
 
+        def finish() -> list[tuple]:
+            """What is left at a part's end, in sequences of powers of two."""
+            nonlocal open_, filled
+            rows, held = [], open_[::-1]
+            for size in powers(filled):
+                some, left = [], size
+                while left:
+                    doc_id, start, ids, total = held.pop()
+                    n = min(left, len(ids) // width)
+                    some.append((doc_id, start, ids[: n * width], total))
+                    if n * width < len(ids):
+                        held.append((doc_id, start + n, ids[n * width :], total))
+                    left -= n
+                rows += close(some, size)
+            open_, filled = [], 0
+            return rows
+
         def frame(rows: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
         for b in batches:
             rows = []
-            for doc_id, ids, w in zip(b["doc_id"], b["ids"], b["width"]):
+            for part, doc_id, ids, w in zip(b["part"], b["doc_id"], b["ids"], b["width"]):
+                if part != current:
+                    rows += finish()
+                    current, number = part, int(part) << 40
                 width, doc_id = int(w), None if pd.isna(doc_id) else int(doc_id)
                 total, at = len(ids) // width, 0
                 while at < total:
@@ -115,18 +161,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_
                         open_, filled = [], 0
             if rows:
                 yield frame(rows)
-        rows, held = [], open_[::-1]
-        for size in powers(filled):
-            part, left = [], size
-            while left:
-                doc_id, start, ids, total = held.pop()
-                n = min(left, len(ids) // width)
-                part.append((doc_id, start, ids[: n * width], total))
-                if n * width < len(ids):
-                    held.append((doc_id, start + n, ids[n * width :], total))
-                left -= n
-            rows += close(part, size)
-        if rows:
+        if rows := finish():
             yield frame(rows)
 
     return d.mapInPandas(lay, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary")

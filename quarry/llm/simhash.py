@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
 
-#: Triples whose lists join large groups first; members of a block, within and between which links are spanning forests.
-FIRST, BLOCK = 16, 512
+#: Triples whose lists join large groups first, in steps; members of a block, within and between which links are spanning forests.
+FIRST, BLOCK = (4, 16), 512
 SHINGLES_AT_ONCE = 50_000
 
 
@@ -117,7 +117,7 @@ def _postings(reps: DataFrame, triples: list[tuple[int, int, int]]) -> DataFrame
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, max_bits: int) -> DataFrame:
-    """The pairs (a, b) with the guaranteed number of shared bytes (the tally) and at most max_bits differing bits."""
+    """Those pairs (a, b, ...) with the guaranteed number of shared bytes (the tally) and at most max_bits differing bits."""
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -129,24 +129,41 @@ def _verified(pairs: DataFrame, reps: DataFrame, max_bits: int) -> DataFrame:
         return pd.Series((shared >= n_bytes - max_bits) & (np.bitwise_count(diff).sum(1) <= max_bits))
 
     left, right = (reps.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")) for n in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(close("fp_a", "fp_b")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(close("fp_a", "fp_b")).select(*pairs.columns)
+
+
+def _contracted(labelled: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -> DataFrame:
+    """labelled (node, fp, label) with labels merged over links in the lists of these triples.
+
+    Each member meets its list's first member and its predecessor, by label, unless their labels are equal: rows in
+    proportion to the members. Labels are merged, not nodes, so what earlier steps joined costs no further rows.
+    """
+    w = Window.partitionBy("key").orderBy("label", "node")
+    met = _postings(labelled, triples)
+    for name, take in (("prev", F.lag), ("low", lambda c: F.first(c))):
+        met = met.withColumn(name, take("node").over(w)).withColumn(f"{name}_label", take("label").over(w))
+    other = lambda n: F.when(F.col(f"{n}_label") != F.col("label"), F.struct(F.col(n).alias("a"), F.col(f"{n}_label").alias("la")))
+    met = met.select(F.explode(F.array_distinct(F.array_compact(F.array(other("low"), other("prev"))))).alias("o"), F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = met.select("o.a", "b", F.col("o.la").alias("la"), "lb").distinct()
+    ends = _verified(pairs, labelled, max_bits).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    merged = common.connected_components(ends).select(F.col("node").alias("label"), F.col("root"))
+    out = labelled.join(merged, "label", "left").select("node", "fp", F.coalesce("root", "label").alias("label"))
+    return common.stored(out, "simhash-labels")
 
 
 def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -> DataFrame:
     """(a, b): links among distinct fingerprints, given one (node long, fp binary) row each; components are those of all links.
 
-    First, in the lists of a few triples, each member is verified against its list's first member and its predecessor:
-    rows in proportion to the input, which already joins large groups of near copies. Their component is the label of
-    the second pass. That one goes through all lists and compares all members that differ in label, so no link between
+    First, the lists of a few triples join large groups of near copies (`_contracted`), whose components are the labels
+    of what follows. That goes through all lists and compares all members that differ in label, so no link between
     two labels is lost; lists of one label need nothing. Lists of two are verified as pairs. Longer ones are sorted by
     label and cut into blocks; two blocks meet unless both hold one and the same label.
     """
     w = Window.partitionBy("key")
-    first = _postings(reps.withColumn("label", F.col("node")), triples[:FIRST])
-    first = first.select("node", F.lag("node").over(w.orderBy("node")).alias("prev"), F.min("node").over(w.orderBy("node")).alias("low")).filter("prev is not null")
-    first = first.select(F.explode(F.array_distinct(F.array("low", "prev"))).alias("a"), F.col("node").alias("b")).distinct()
-    star = common.connected_components(_verified(first, reps, max_bits)).select("node", F.col("root").alias("label"))
-    labelled = common.stored(reps.join(star, "node", "left").withColumn("label", F.coalesce("label", "node")), "simhash-labels")
+    labelled, done = reps.select("node", "fp", F.col("node").alias("label")), 0
+    for step in FIRST:
+        if triples[done:step]:
+            labelled, done = _contracted(labelled, triples[done:step], max_bits), step
 
     ordered = w.orderBy("label", "node")
     members = _postings(labelled, triples).select(
@@ -194,14 +211,18 @@ def components(docs: DataFrame, ngram: int = 3, n_bits: int = 64, max_bits: int
     """(doc_id, fp, component_id) for each row of docs.
 
     Equal fingerprints count as linked. Null and wordless texts have the zero fingerprint and link like any other.
-    Repeated rows repeat in the result. Rows with a null id get their fingerprint and their component, but never name
-    one; a component of such rows alone is null. Empty input: empty result. Other columns are ignored.
+    Repeated rows repeat in the result. Rows with a null id get their fingerprint and their component and link others,
+    but never name one; a component of such rows alone is null. Empty input: empty result. Other columns are ignored.
     """
     fps = common.stored(fingerprints(docs, ngram, n_bits, id_col, text_col), "simhash-fp")
-    reps = common.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-reps")
-    named = reps.filter("node is not null")
-    comp = common.connected_components(links(named.select("node", "fp"), triples or half_triples(), max_bits))
-    label = reps.join(comp, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id())
+    reps = common.stored(reps, "simhash-reps")
+    comp = common.connected_components(links(reps.select("node", "fp"), triples or half_triples(), max_bits))
+    rooted = common.stored(reps.join(comp, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root")), "simhash-roots")
+    # Components of one fingerprint need no second look.
+    many = comp.select("root").distinct()
+    names = rooted.join(many, "root", "left_semi").groupBy("root").agg(F.min("low").alias("name"))
+    label = rooted.join(names, "root", "left").select("fp", F.coalesce("name", "low").alias("component_id"))
     return fps.join(label, "fp")
 
 

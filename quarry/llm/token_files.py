@@ -136,7 +136,7 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int = 0, keep_space:
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    d = d.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part, seq = Encoder.of(vocab, keep_space), TaskContext.get().partitionId(), 0
@@ -169,7 +169,11 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int = 0, keep_space:
 
 
 def read(manifest: DataFrame, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of all documents, or of those asked for, from the files alone."""
+    """(doc_id, start, n_tokens, ids_crc32, ids) of all documents, or of those asked for, from the files alone.
+
+    An id that occurs more than once gives as many rows, an unknown one none; None asks for null ids; an empty manifest
+    gives no row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = filesystem(folder)
@@ -185,7 +189,7 @@ def read(manifest: DataFrame, folder: str, doc_ids: list[int] | None = None) ->
                         yield pd.DataFrame({"doc_id": pd.array([r.ids[i] for i in rows], "Int64"), "start": [int(base + r.starts[i]) for i in rows], "n_tokens": [int(r.counts[i]) for i in rows], "ids_crc32": [crc32_u32(x, r.dtype) for x in ids], "ids": [np.frombuffer(x, r.dtype).astype("<u4").tobytes() for x in ids]})
 
     n = max(1, min(manifest.count(), 100_000))  # a task a file, so that reading is as parallel as writing was
-    return manifest.select("path", "base").repartition(n, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return manifest.select("path", "base").repartitionByRange(n, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, vocab: str) -> DataFrame:
