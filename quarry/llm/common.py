@@ -54,6 +54,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as make it none of df's columns (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def at_most(df: DataFrame, bound: int) -> bool:
     """Whether df has at most bound rows; reads no more than bound + 1 of them."""
     return df.limit(bound + 1).count() <= bound

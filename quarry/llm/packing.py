@@ -100,14 +100,15 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_
                 key = hilbert(np.clip(points, 0, (1 << BITS) - 1).astype(np.int64))
                 yield pd.DataFrame({"doc_id": b["doc_id"], "key": key, "ids": packed, "width": enc.dtype.itemsize})
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.mapInPandas(encode, "doc_id long, key long, ids binary, width int")
+    # Ids pass through Python as strings: pandas would make numbers beside nulls floating-point.
+    d = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    d = d.mapInPandas(encode, "doc_id string, key long, ids binary, width int").withColumn("doc_id", F.col("doc_id").cast("long"))
     d = d.select("*", F.xxhash64("ids").alias("tie"), F.shiftright("key", DIMS * BITS - CELL_BITS).alias("cell"), F.expr("length(ids) div width").alias("n"))
     d = common.stored(d.withColumn("row", F.monotonically_increasing_id()), "packing-ids")
     cells = [tuple(r) for r in d.groupBy("cell").agg(F.sum("n")).collect()]  # at most 2 ** CELL_BITS rows
     where = F.broadcast(d.sparkSession.createDataFrame(parts(cells, part_tokens), "cell long, first long, k long"))
     d = d.join(where, "cell").withColumn("part", F.col("first") + F.when(F.col("k") > 1, F.expr("pmod(xxhash64(doc_id, tie, row), k)")).otherwise(0))
-    d = d.select("part", "key", "doc_id", "tie", "ids", "width").repartitionByRange("part").sortWithinPartitions("part", "key", "doc_id", "tie")
+    d = d.select("part", "key", "doc_id", "tie", "ids", "width").repartitionByRange("part").sortWithinPartitions("part", "key", "doc_id", "tie").withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "ids"]
@@ -142,7 +143,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_
             return rows
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            return pd.DataFrame(rows, columns=names)
 
         for b in batches:
             rows = []
@@ -150,7 +151,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_
                 if part != current:
                     rows += finish()
                     current, number = part, int(part) << 40
-                width, doc_id = int(w), None if pd.isna(doc_id) else int(doc_id)
+                width = int(w)
                 total, at = len(ids) // width, 0
                 while at < total:
                     n = min(total - at, limit - filled)
@@ -164,7 +165,8 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_
         if rows := finish():
             yield frame(rows)
 
-    return d.mapInPandas(lay, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary")
+    out = d.mapInPandas(lay, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

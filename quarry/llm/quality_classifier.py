@@ -137,15 +137,18 @@ def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_
     host, path = F.col(host_col).cast("string"), F.col(path_col).cast("string")
     p_doc = lambda e: 1 / (1 + F.exp(-(e + F.lit(base))))
     scores = docs.select(host.alias("host"), path.alias("path"), p_doc(evidence(F.col("text"), weights, base)).alias("p"))
-    sites = posteriors(scores).select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "path_n", "path_good", F.col("host_rate").alias("q_host"), F.col("path_rate").alias("q_path"), "k_path")
-    sites = common.small(common.stored(sites, "quality-sites"), BROADCAST_SITES)
-    out = docs.withColumn("q_evidence", evidence(F.col("text"), weights, base))
-    out = out.join(sites, (host.eqNullSafe(F.col("s_host"))) & (path.eqNullSafe(F.col("s_path"))), "left")
-    own = p_doc(F.col("q_evidence"))
-    prior = (F.greatest(F.col("path_good") - own, F.lit(0.0)) + F.col("k_path") * F.col("q_host")) / (F.greatest(F.col("path_n") - 1, F.lit(0.0)) + F.col("k_path"))
+    # One column of the site's numbers and one of the document's, under names that docs does not have.
+    site, own = common.fresh(docs, "site"), common.fresh(docs, "own")
+    sites = common.small(common.stored(posteriors(scores).select(F.struct("*").alias(site)), "quality-sites"), BROADCAST_SITES)
+    at = lambda k: F.col(f"{site}.{k}")
+    out = docs.withColumn(own, evidence(F.col("text"), weights, base)).join(sites, host.eqNullSafe(at("host")) & path.eqNullSafe(at("path")), "left")
+    prior = (F.greatest(at("path_good") - p_doc(F.col(own)), F.lit(0.0)) + at("k_path") * at("host_rate")) / (F.greatest(at("path_n") - 1, F.lit(0.0)) + at("k_path"))
     prior = F.least(F.greatest(prior, F.lit(1e-3)), F.lit(1 - 1e-3))
-    out = out.withColumn("q_probability", 1 / (1 + F.exp(-(F.col("q_evidence") + F.log(prior / (1 - prior))))))
-    return out.withColumn("q_keep", F.col("q_probability") >= KEEP_PROBABILITY).drop("s_host", "s_path", "path_n", "path_good", "k_path")
+    probability = 1 / (1 + F.exp(-(F.col(own) + F.log(prior / (1 - prior)))))
+    return out.select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.col(own).alias("q_evidence"), at("host_rate").alias("q_host"), at("path_rate").alias("q_path"),
+        probability.alias("q_probability"), (probability >= KEEP_PROBABILITY).alias("q_keep"),
+    )
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
@@ -154,5 +157,9 @@ def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those the classifier rejects, with the same columns."""
-    return classify(docs, labels).filter("q_keep").select(*docs.columns)
+    """docs without those the classifier rejects, with the same columns; nulls, ties and empty tables as in `classify`."""
+    keep = common.fresh(docs, "keep")
+    plain = [c for c in docs.columns if c.startswith("q_")]  # classify replaces its own names
+    held = docs.select("*", F.struct(*plain).alias(keep)) if plain else docs
+    out = classify(held, labels).filter("q_keep")
+    return out.select(*[(F.col(f"{keep}.`{c}`").alias(c) if c in plain else F.col(f"`{c}`")) for c in docs.columns])

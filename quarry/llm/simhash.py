@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
 
-#: Triples whose lists join large groups first, in steps; members of a block, within and between which links are spanning forests.
-FIRST, BLOCK = (4, 16), 512
+#: Triples whose lists join large groups first, how often; members of a block, within and between which links are spanning forests.
+FIRST, STEPS, BLOCK = 16, 2, 512
 SHINGLES_AT_ONCE = 50_000
 
 
@@ -78,7 +78,8 @@ def fingerprints(docs: DataFrame, ngram: int, n_bits: int = 64, id_col: str = "d
         for b in batches:
             yield pd.DataFrame({"doc_id": b["i"], "fp": [fingerprint(t, ngram, n_bits) for t in b["t"]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, fp binary")
+    d = docs.select(F.col(id_col).cast("long").cast("string").alias("i"), F.col(text_col).alias("t"))  # pandas would make numbers beside nulls floating-point
+    return d.mapInPandas(run, "doc_id string, fp binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _bits(fps) -> np.ndarray:
@@ -135,8 +136,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, max_bits: int) -> DataFrame:
 def _contracted(labelled: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -> DataFrame:
     """labelled (node, fp, label) with labels merged over links in the lists of these triples.
 
-    Each member meets its list's first member and its predecessor, by label, unless their labels are equal: rows in
-    proportion to the members. Labels are merged, not nodes, so what earlier steps joined costs no further rows.
+    Each member meets its list's first member and its predecessor, by label, unless their labels are equal. Of those
+    that a member meets, the one with the largest tally (lists that both are in) and the smallest are verified: two
+    pairs a member at most, however many lists. Labels are merged, not nodes.
     """
     w = Window.partitionBy("key").orderBy("label", "node")
     met = _postings(labelled, triples)
@@ -144,7 +146,9 @@ def _contracted(labelled: DataFrame, triples: list[tuple[int, int, int]], max_bi
         met = met.withColumn(name, take("node").over(w)).withColumn(f"{name}_label", take("label").over(w))
     other = lambda n: F.when(F.col(f"{n}_label") != F.col("label"), F.struct(F.col(n).alias("a"), F.col(f"{n}_label").alias("la")))
     met = met.select(F.explode(F.array_distinct(F.array_compact(F.array(other("low"), other("prev"))))).alias("o"), F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = met.select("o.a", "b", F.col("o.la").alias("la"), "lb").distinct()
+    tally = met.groupBy("b", "lb", "o").agg(F.count("*").alias("n"))
+    best = tally.groupBy("b", "lb").agg(F.max(F.struct("n", "o")).alias("most"), F.min("o").alias("least"))
+    pairs = best.select(F.explode(F.array_distinct(F.array("most.o", "least"))).alias("o"), "b", "lb").select("o.a", "b", F.col("o.la").alias("la"), "lb")
     ends = _verified(pairs, labelled, max_bits).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     merged = common.connected_components(ends).select(F.col("node").alias("label"), F.col("root"))
     out = labelled.join(merged, "label", "left").select("node", "fp", F.coalesce("root", "label").alias("label"))
@@ -160,10 +164,9 @@ def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -
     label and cut into blocks; two blocks meet unless both hold one and the same label.
     """
     w = Window.partitionBy("key")
-    labelled, done = reps.select("node", "fp", F.col("node").alias("label")), 0
-    for step in FIRST:
-        if triples[done:step]:
-            labelled, done = _contracted(labelled, triples[done:step], max_bits), step
+    labelled = reps.select("node", "fp", F.col("node").alias("label"))
+    for _ in range(STEPS):
+        labelled = _contracted(labelled, triples[:FIRST], max_bits)
 
     ordered = w.orderBy("label", "node")
     members = _postings(labelled, triples).select(
@@ -219,10 +222,7 @@ def components(docs: DataFrame, ngram: int = 3, n_bits: int = 64, max_bits: int
     reps = common.stored(reps, "simhash-reps")
     comp = common.connected_components(links(reps.select("node", "fp"), triples or half_triples(), max_bits))
     rooted = common.stored(reps.join(comp, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root")), "simhash-roots")
-    # Components of one fingerprint need no second look.
-    many = comp.select("root").distinct()
-    names = rooted.join(many, "root", "left_semi").groupBy("root").agg(F.min("low").alias("name"))
-    label = rooted.join(names, "root", "left").select("fp", F.coalesce("name", "low").alias("component_id"))
+    label = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(label, "fp")
 
 

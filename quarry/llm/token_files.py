@@ -137,6 +137,7 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int = 0, keep_space:
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    d = d.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make numbers beside nulls floating-point
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part, seq = Encoder.of(vocab, keep_space), TaskContext.get().partitionId(), 0
@@ -156,7 +157,7 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int = 0, keep_space:
                     name = f"{base}/tokens-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.zst"
                     out = store.open_output_stream(name, compression=None)
                     writer = Writer(out, enc.dtype)
-                writer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
+                writer.add(int(doc_id) if isinstance(doc_id, str) else None, ids + end)
                 if writer.total >= FILE_BYTES:
                     yield done()
                     writer, seq = None, seq + 1

@@ -42,7 +42,7 @@ def _line(text: str | None) -> str:
     return re.sub(r"[\r\n]+", " ", text or "")
 
 
-def transaction(page_id: str, url: str | None, payload: bytes, sha: str, response: str | None, copy: int) -> bytes:
+def transaction(page_id: str, url: str | None, payload: bytes, sha: str, response: str | None, copy: str | None = None) -> bytes:
     """The three records of a capture. response: the page that holds an equal payload, if this one revisits it."""
     stem, uri = f"urn:page:{page_id}:{sha}" + (f":{copy}" if copy else ""), _line(url)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -60,46 +60,41 @@ def transaction(page_id: str, url: str | None, payload: bytes, sha: str, respons
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes archives and returns their manifest (path, n_pages); files of failed attempts are not in it.
 
-    Of equal payloads the page with the largest id is the response, the others revisit it. Rows that repeat that id
-    with that payload are responses too, told apart by a suffix. Null html: an empty payload. Null ids are written as
-    "null" and are a response only if no page with an id has the payload. Null urls: no target URI.
+    Of equal payloads the page with the largest id is the response, the others revisit it. Rows that repeat an id with
+    its payload get record ids of their own by their row number, all but the first. Null html: an empty payload. Null
+    ids are written as "null" and are a response only if no page with an id has the payload. Null urls: no target URI.
+    Empty table: no archive.
     """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "sha": [digest((t or "").encode("utf-8", "surrogatepass")) for t in b["html"]]})
-
-    d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    known = common.stored(d.select("page_id", "html").mapInPandas(sums, "page_id long, sha string"), "warc-digests")
-    last = known.groupBy("sha").agg(F.max("page_id").alias("response"))
-    refers = common.stored(known.filter("page_id is not null").distinct().join(last, "sha").filter("page_id < response").select("page_id", "sha", "response"), "warc-refers")
-    nulls = last.filter("response is not null").select(F.col("sha").alias("n_sha"), F.col("response").alias("n_response"))
-
-    @F.pandas_udf("string")
-    def sha_of(html: pd.Series) -> pd.Series:
-        return html.map(lambda t: digest((t or "").encode("utf-8", "surrogatepass")))
-
-    d = d.withColumn("sha", sha_of("html"))
-    named = d.filter("page_id is not null").join(refers, ["page_id", "sha"], "left")
-    unnamed = d.filter("page_id is null").join(nulls, F.col("sha") == F.col("n_sha"), "left").select("page_id", "sha", "url", "html", F.col("n_response").alias("response"))
-    d = named.select("page_id", "sha", "url", "html", "response").unionByName(unnamed).sortWithinPartitions("page_id", "sha")
+            b["sha"] = [digest((t or "").encode("utf-8", "surrogatepass")) for t in b["html"]]
+            yield b
+
+    d = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    d = d.mapInPandas(sums, "page_id string, url string, html string, sha string").withColumn("page_id", F.col("page_id").cast("long"))
+    # Stored with row numbers, so that these are the same whenever a task is run again.
+    d = common.stored(d.withColumn("row", F.monotonically_increasing_id()), "warc-pages")
+    same = d.groupBy("sha", "page_id").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    last = d.groupBy("sha").agg(F.max("page_id").alias("response"))
+    # Only pages that revisit another or occur more than once need more than their own row.
+    told = same.join(last, "sha").filter("n > 1 or page_id < response or (page_id is null and response is not null)")
+    told = common.stored(told.select(F.col("sha").alias("t_sha"), F.col("page_id").alias("t_id"), "first", "n", F.when(F.expr("page_id is null or page_id < response"), F.col("response")).alias("response")), "warc-told")
+    d = d.join(told, F.expr("sha = t_sha and page_id <=> t_id"), "left")
+    d = d.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page"), "sha", "url", "html", F.col("response").cast("string").alias("response"), F.when(F.expr("row > first"), F.col("row").cast("string")).alias("copy"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = filesystem(folder)
         store.create_dir(base, recursive=True)
-        out, name, n, size, before, copy = None, "", 0, 0, None, 0
+        out, name, n, size = None, "", 0, 0
         attempt = TaskContext.get().taskAttemptId()
         for b in batches:
-            for page_id, sha, url, html, response in b[["page_id", "sha", "url", "html", "response"]].itertuples(index=False):
-                page = "null" if pd.isna(page_id) else str(int(page_id))
-                copy = copy + 1 if before == (page, sha) else 0
-                before = (page, sha)
+            for page, sha, url, html, response, copy in b[["page", "sha", "url", "html", "response", "copy"]].itertuples(index=False):
                 if out is None:
                     name, n, size = f"{base}/pages-{attempt:08d}-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(name, compression=None)
                     out.write(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"software: quarry\r\nformat: WARC File Format 1.1\r\n"))
-                # Rows with null ids get a random suffix, as their page and payload may recur in other files.
-                raw = transaction(page, url, (html or "").encode("utf-8", "surrogatepass"), sha, None if pd.isna(response) else str(int(response)), copy if page != "null" else uuid.uuid4().hex)
+                raw = transaction(page, url, (html or "").encode("utf-8", "surrogatepass"), sha, response or None, copy or None)
                 out.write(raw)
                 n, size = n + 1, size + len(raw)
                 if size >= FILE_BYTES:
@@ -159,7 +154,11 @@ def parse(member: bytes) -> dict | None:
 
 
 def read_records(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """One row per request, response, revisit and metadata record of the archives; request payloads are empty."""
+    """One row per request, response, revisit and metadata record of the archives; request payloads are empty.
+
+    Header fields that a record lacks are null. An archive that ends within a record or whose payload does not match its
+    digest ends the run. Empty manifest: no row. Without payloads only those of metadata records are returned.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = filesystem(folder)
@@ -180,7 +179,7 @@ def read_records(manifest: DataFrame, folder: str, payloads: bool = True) -> Dat
                     yield pd.DataFrame(rows).astype({"payload_bytes": "Int64"})
 
     n = max(1, min(manifest.count(), 100_000))  # a task an archive
-    return manifest.select("path").repartition(n, "path").mapInPandas(run, RECORD)
+    return manifest.select("path").repartitionByRange(n, "path").mapInPandas(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
