@@ -98,12 +98,13 @@ def scan(docs: DataFrame, bench: DataFrame, width: int = WINDOW, min_items: int
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """documents scanned for benchmark; nulls, repeats and empty tables as in `scan`."""
     out = scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def contained(docs: DataFrame, bench: DataFrame, min_hit: int = 16) -> DataFrame:
-    """(doc_id, item): items of which a document holds enough words, counted for each item by itself.
+    """(doc_id, doc_key, item): items of which a document's text holds enough words, counted for each item by itself.
 
     The item's words that lie in its windows found in the document are counted. Enough are min_hit, or in shorter items
     as many as are left in windows when one word of the item is changed (all but WINDOW), but at least one window.
@@ -116,13 +117,21 @@ def contained(docs: DataFrame, bench: DataFrame, min_hit: int = 16) -> DataFrame
     hits = found.filter("exact").select("doc_id", "doc_key", "win").distinct().join(common.small(common.stored(places, "decon-places"), BROADCAST_ROWS), "win")
     held = hits.groupBy("doc_id", "doc_key", "item", "text", "n").agg(F.collect_set(F.struct("s", (F.col("s") + F.size("win")).alias("e"))).alias("spans"))
     n_hit = F.expr("aggregate(array_sort(spans), struct(0 as n, 0 as e), (a, x) -> struct(a.n + greatest(x.e - greatest(x.s, a.e), 0) as n, greatest(a.e, x.e) as e), a -> a.n)")
-    return held.filter(n_hit >= F.expr(f"least({min_hit}, greatest(n - {WINDOW}, least(n, {WINDOW})))")).select("doc_id", "item").distinct()
+    return held.filter(n_hit >= F.expr(f"least({min_hit}, greatest(n - {WINDOW}, least(n, {WINDOW})))")).select("doc_id", "doc_key", "item").distinct()
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, min_items: int = 1, min_hit: int = 16) -> DataFrame:
-    """docs without those that contain at least min_items items (`contained`), the stage's rule."""
-    found = contained(docs, bench, min_hit).groupBy("doc_id").count().filter(f"count >= {min_items}")
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti")
+    """docs without the rows whose text contains at least min_items items (`contained`), the stage's rule.
+
+    Rows go by id and text: other texts of the same id stay, rows with a null id go like any other. Null, empty and
+    wordless texts stay; without usable items all rows stay. Input columns stay as they are.
+    """
+    found = contained(docs, bench, min_hit).groupBy("doc_id", "doc_key").count().filter(f"count >= {min_items}")
+    found = found.select(F.col("doc_id").alias("f_id"), F.col("doc_key").alias("f_key")).alias("found")
+    mark = common.fresh(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64("text", F.length("text"))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("found.f_id")) & (F.col(f"d.{mark}") == F.col("found.f_key"))
+    return marked.join(found, same, "left_anti").drop(mark)
 
 
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""

@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory; native.
 
-Every line of every text that holds a term of licence talk is a candidate header. Its tokens are weighted by the
-templates' inverse document frequency, tokens that no template has by the largest weight, and its cosine to each
+Every line and every paragraph of several lines that holds a term of licence talk is a candidate header; a text that
+is one paragraph is compared as a whole. Tokens are weighted by the templates' inverse document frequency, tokens that no template has by the largest weight, and its cosine to each
 template follows from a join with the templates' normalised weights. A licence file decides for its directory; a
 document without a licence of its own takes that of the nearest directory above it.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
 
-# Short headers of common licences, by SPDX identifier.
+# Short headers of common licences, by SPDX identifier; SPDX lines of the same identifiers are added below.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -24,6 +24,13 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the software without restriction."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted. Released under the BSD License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -34,6 +41,9 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright; dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in TEMPLATES)]
+#: What parts paragraphs.
+PARAGRAPH = r"\n[ \t\r]*\n"
 #: A line without any of these is no header.
 TALK = r"(?i)licen[cs]e|redistribut|public domain|permission is hereby|copyright|spdx"
 TOKEN_BREAKS = r"[^a-z0-9]+"
@@ -57,9 +67,11 @@ def unknown_idf() -> float:
 
 
 def headers(docs: DataFrame) -> DataFrame:
-    """(key, line): distinct candidate lines of docs (key, text)."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(TALK))
-    return docs.filter(F.col("text").rlike(TALK)).select("key", F.explode(F.array_distinct(lines)).alias("line"))
+    """(key, line, block): distinct candidate lines of docs (key, text), and paragraphs of several lines (block)."""
+    mark = lambda block: lambda x: F.struct(x.alias("line"), F.lit(block).alias("block"))
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(TALK)), mark(False))
+    blocks = F.transform(F.filter(F.split("text", PARAGRAPH), lambda x: x.rlike(TALK) & x.contains("\n")), mark(True))
+    return docs.filter(F.col("text").rlike(TALK)).select("key", F.explode(F.array_distinct(F.concat(lines, blocks))).alias("h")).select("key", "h.*")
 
 
 def score(lines: DataFrame) -> DataFrame:
@@ -79,7 +91,7 @@ def scan(docs: DataFrame, path: Column, file_share: float = FILE_SHARE, id_col:
     """Per row of docs: doc_id, path, license and score (own, null if none), inherited, inherited_from and effective.
 
     Own: the best header of cosine MIN_COSINE or more (ties by name). A document is its directory's licence file if
-    it has a licence and its headers hold at least file_share of its characters, or its file name says so (LICENSE,
+    it has a licence and its headers (all lines, or one paragraph) hold at least file_share of its characters, or its file name says so (LICENSE,
     COPYING, UNLICENSE); of several in a directory the best score, then the smallest name decides. Paths are
     slash-separated; a null path belongs to no directory and inherits nothing. Null and empty texts have no licence.
     Repeated rows repeat; other columns are ignored.
@@ -89,7 +101,8 @@ def scan(docs: DataFrame, path: Column, file_share: float = FILE_SHARE, id_col:
     lines = common.stored(headers(d), "license-lines")
     scored = lines.join(score(lines), "line").filter(F.col("score") >= MIN_COSINE)
     # A key's lines are those of equal rows; distinct before counting their characters.
-    own = scored.select("key", "line", "license", "score").distinct().groupBy("key").agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("own"), F.sum(F.length("line")).alias("chars"))
+    chars = F.greatest(F.sum(F.when(F.col("block"), 0).otherwise(F.length("line"))), F.max(F.when(F.col("block"), F.length("line")).otherwise(0)))
+    own = scored.select("key", "line", "block", "license", "score").distinct().groupBy("key").agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("own"), chars.alias("chars"))
     own = common.stored(own, "license-own")
     base = d.select("doc_id", "path", "key", F.length("text").alias("n_chars"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
     base = base.withColumn("dir", F.when(F.col("path").contains("/"), F.col("dir")).when(F.col("path").isNotNull(), F.lit("")))
@@ -114,6 +127,7 @@ PATH = "concat(source, '/', lang, '/', cast(doc_id div 100 as string), '/', cast
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of documents by PATH; nulls, ties and repeats as in `scan`."""
     return scan(common.table(spark, sf_dir, "documents"), F.expr(PATH))
 
 
@@ -122,14 +136,17 @@ def oracle_sql() -> str:
     return rf"""
 WITH tw(template, license, token, idf, unit) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source || '/' || lang || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir FROM documents),
-ln AS (SELECT DISTINCT rid, line FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{TALK}')),
+ln AS (SELECT DISTINCT rid, line, block FROM (
+         SELECT rid, unnest(string_split(text, chr(10))) AS line, false AS block FROM d
+         UNION ALL SELECT rid, line, true FROM (SELECT rid, unnest(string_split_regex(text, '{PARAGRAPH}')) AS line FROM d) WHERE contains(line, chr(10))
+       ) WHERE regexp_matches(line, '{TALK}')),
 tk AS (SELECT line, token, count(*) AS n FROM (SELECT line, unnest(string_split_regex(lower(line), '{TOKEN_BREAKS}')) AS token FROM (SELECT DISTINCT line FROM ln)) WHERE token <> '' GROUP BY ALL),
 wt AS (SELECT line, token, n * coalesce((SELECT max(idf) FROM tw WHERE tw.token = tk.token), {unknown_idf()!r}) AS w FROM tk),
 nm AS (SELECT line, sqrt(sum(w * w)) AS norm FROM wt GROUP BY line),
 dt AS (SELECT line, template, license, sum(w * unit) AS dot FROM wt JOIN tw USING (token) GROUP BY ALL),
 bs AS (SELECT line, license, dot FROM dt QUALIFY row_number() OVER (PARTITION BY line ORDER BY dot DESC, template) = 1),
 sc AS (SELECT line, license, round(dot / norm, 6) AS score FROM bs JOIN nm USING (line)),
-ow AS (SELECT rid, arg_max(license, (score, license)) AS license, max(score) AS score, sum(length(line)) AS chars FROM ln JOIN sc USING (line) WHERE score >= {MIN_COSINE} GROUP BY rid),
+ow AS (SELECT rid, arg_max(license, (score, license)) AS license, max(score) AS score, greatest(sum(CASE WHEN block THEN 0 ELSE length(line) END), max(CASE WHEN block THEN length(line) ELSE 0 END)) AS chars FROM ln JOIN sc USING (line) WHERE score >= {MIN_COSINE} GROUP BY rid),
 r AS (SELECT d.rid, doc_id, dir, ow.license, ow.score, coalesce(chars, 0) >= {FILE_SHARE} * length(text) AND ow.license IS NOT NULL AS decides FROM d LEFT JOIN ow USING (rid)),
 ld AS (SELECT dir, arg_min(license, (-score, license)) AS inherited FROM r WHERE decides GROUP BY dir),
 nr AS (SELECT a.dir, arg_max(ld.inherited, length(ld.dir)) AS inherited, arg_max(ld.dir, length(ld.dir)) AS inherited_from

@@ -170,4 +170,5 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = LIMIT, keep_
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """documents packed; nulls and repeats as in `pack`."""
     return pack(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")

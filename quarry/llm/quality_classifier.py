@@ -152,6 +152,7 @@ def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Evidence, posteriors and verdicts of documents; nulls and repeats as in `classify`."""
     out = classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "source", "lang", *[F.round(c, 6).alias(c) for c in ("q_evidence", "q_host", "q_path", "q_probability")], F.col("q_keep").alias("kept"))
 

@@ -123,6 +123,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of documents; nulls and repeats as in `rules`."""
     return rules(common.table(spark, sf_dir, "documents")).drop("class_jsd", "word_jsd")
 
 

@@ -227,6 +227,7 @@ def components(docs: DataFrame, ngram: int = 3, n_bits: int = 64, max_bits: int
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of documents; nulls and repeats as in `components`."""
     out = components(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 

@@ -200,4 +200,5 @@ def round_trip(spark: SparkSession, docs: DataFrame, vocab: str) -> DataFrame:
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
+    """documents written as token files and read back; nulls and repeats as in `write`."""
     return round_trip(spark, common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids")

@@ -196,6 +196,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """pages written as archives, read back and assembled; nulls and repeats as in `write`."""
     folder = common.work_path(spark, "warc")
     captures = assemble(read_records(write(common.table(spark, sf_dir, "pages"), folder), folder, payloads=False))
     page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+):", 1).try_cast("long")
