@@ -100,6 +100,7 @@ ENCODER_PREFIXES = {
     "intfloat/multilingual-e5-small": ("query: ", "passage: "),
     "intfloat/multilingual-e5-base": ("query: ", "passage: "),
     "BAAI/bge-m3": ("", ""),
+    "deepvk/USER-bge-m3": ("", ""),
 }
 
 

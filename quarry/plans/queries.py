@@ -29,10 +29,6 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return R.load(spark, sf, name)
 
 
-def _sizes(instances: DataFrame) -> tuple[int, int]:
-    return 60, 40
-
-
 # ---- scans and scalars -------------------------------------------------------------------------------------------
 
 
@@ -534,12 +530,6 @@ def o133(spark, sf):
     return d.select("qid", "item_id", "q_words", "loc_match", "dist_km", "log_pop", "p_mc", "mc_rank")
 
 
-@query("o131_negatives")
-def o131(spark, sf):
-    _, d = _pairs(spark, sf)
-    return K.sample_negatives(d).select("qid", "item_id", "label", "rrf_rank")
-
-
 @query("o137_o138_ranker")
 def o137(spark, sf):
     _, d = _pairs(spark, sf)

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 
-CLASS_OF = {"RU": "ru"}
-
 
 def load(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None, where: Column | str | None = None, ids: Sequence[str] = ()) -> DataFrame:
     """Parquet scan with pruned columns, pushed filter, decimals as doubles, NaN as null and ids that must not be null."""
