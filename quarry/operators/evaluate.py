@@ -96,16 +96,26 @@ def tune_rrf(truth: DataFrame, candidates: DataFrame, channels: list[str], grid:
     return weights, best
 
 
+#: Ranges of values a feature, whose sums are broadcast.
+RANGES = 200
+
+
 def single_auc(rows: DataFrame, features: list[str], label: Column) -> DataFrame:
     """(feature, auc): max(a, 1 - a) of each feature alone, ties sharing their mean rank; nulls left out.
 
-    Counts per distinct value are accumulated, so ties need no sort of the rows themselves.
+    Counts per distinct value are accumulated in ranges of about equal numbers of values: first the sums of the ranges
+    below, which are few, then within a range; so no feature's values meet in one task.
     """
     stack = ", ".join(f"'{f}', cast(`{f}` as double)" for f in features)
     long = rows.select(label.cast("int").alias("y"), F.expr(f"stack({len(features)}, {stack}) as (feature, v)")).filter("v is not null and y is not null")
     at = long.groupBy("feature", "v").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = at.withColumn("below", below).groupBy("feature").agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))).alias("a"))
+    edges = at.groupBy("feature").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)]).alias("edges"))
+    at = at.join(F.broadcast(edges), "feature").withColumn("part", F.expr("size(filter(edges, e -> e < v))")).drop("edges")
+    sums = at.groupBy("feature", "part").agg(F.sum("neg").alias("in_part"))
+    before = F.coalesce(F.sum("in_part").over(Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = at.join(F.broadcast(sums.select("feature", "part", before.alias("before"))), ["feature", "part"])
+    within = F.coalesce(F.sum("neg").over(Window.partitionBy("feature", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    auc = at.withColumn("below", F.col("before") + within).groupBy("feature").agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))).alias("a"))
     return auc.select("feature", F.round(F.greatest("a", 1 - F.col("a")), 9).alias("auc"))
 
 

@@ -51,10 +51,15 @@ def o05(spark, sf):
     return v.join(v.filter("vec_id % 7 <> 0"), "vec_id", "left_anti")
 
 
-@query("o06_cache_key", "SELECT md5(string_agg(i, chr(10) ORDER BY i)) AS cache_key, count(*) AS n FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS i FROM benchmark)")
+_HASH = "CAST(sum(CAST('0x' || substr(md5(i), {at}, 15) AS HUGEINT)) AS VARCHAR)"
+
+
+@query("o06_cache_key", f"SELECT md5(count(*) || '|' || {_HASH.format(at=1)} || '|' || {_HASH.format(at=16)}) AS cache_key, count(*) AS n FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS i FROM benchmark)")
 def o06(spark, sf):
-    ids = _read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("i")).distinct()
-    return ids.agg(F.md5(F.array_join(F.array_sort(F.collect_list("i")), "\n")).alias("cache_key"), F.count("*").alias("n"))
+    """A key of a set of ids whatever their order: sums of 120 bits of their hashes, so no task holds them all."""
+    ids = _read(spark, sf, "benchmark").select(F.md5(F.col("item_id").cast("string")).alias("h")).distinct()
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return ids.agg(F.md5(F.concat_ws("|", F.count("*").cast("string"), part(1), part(16))).alias("cache_key"), F.count("*").alias("n"))
 
 
 @query("o07_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -140,7 +145,9 @@ history AS (SELECT * FROM parts WHERE part = 'P1' AND NOT thinned)"""
 
 
 def _parts(spark, sf):
-    return I.thinned(I.assign_parts(I.build_instances(R.train(spark, sf)), 60, 40))
+    """Instances with their parts, stored once for the steps of a query that read them."""
+    instances = stored(I.build_instances(R.train(spark, sf)), "instances")
+    return stored(I.thinned(I.assign_parts(instances, 60, 40)), "parts")
 
 
 @query("o110_instances", f"WITH {R.CTES} SELECT qid, query, location, filters, qtext, array_to_string(items, ' ') AS items FROM instances")
@@ -208,12 +215,15 @@ def o90(spark, sf):
     return C.bm25(_bench(spark, sf), _docs(spark, sf), t, t, 50, "bm25")
 
 
-@query("o91_bm25_pairs", f"WITH {_BM25}, pr AS (SELECT CAST(b.item_id AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS item_id FROM benchmark b JOIN documents ON doc_id % 40 = b.item_id % 40) SELECT qid, item_id, coalesce(score, 0) AS score FROM pr LEFT JOIN s USING (qid, item_id)")
+@query("o91_bm25_pairs", f"""WITH {_BM25}, be AS (SELECT qid, item_id FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) <= 10), pr AS (SELECT * FROM be UNION SELECT qid, CAST(CAST(item_id AS BIGINT) + 1 AS VARCHAR) FROM be)
+SELECT qid, item_id, coalesce(score, 0) AS score FROM pr LEFT JOIN s USING (qid, item_id)""")
 def o91(spark, sf):
+    """Scores of given pairs: each passage with its ten best documents and with those that follow them, known or not."""
     t = X.tokens(F.col("text"))
     b, d = _bench(spark, sf), _docs(spark, sf)
-    pairs = b.select("qid", (F.col("qid").cast("long") % 40).alias("m")).join(d.select("item_id", (F.col("item_id").cast("long") % 40).alias("m")), "m").select("qid", "item_id")
-    return C.bm25_pairs(b, d, pairs, t, t)
+    best = stored(C.bm25(b, d, t, t, 10, "bm25").select("qid", "item_id"), "pairs")
+    after = best.select("qid", (F.col("item_id").cast("long") + 1).cast("string").alias("item_id"))
+    return C.bm25_pairs(b, d, best.unionByName(after).distinct(), t, t)
 
 
 _GRAMS = "SELECT id, substr(w, i, n) AS term FROM (SELECT id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT id, w, unnest([3, 4, 5]) AS n FROM (SELECT id, ' ' || unnest(string_split(id, ' ')) || ' ' AS w FROM {t}) ) WHERE n <= length(w))"
@@ -533,7 +543,7 @@ def o133(spark, sf):
 @query("o137_o138_ranker")
 def o137(spark, sf):
     _, d = _pairs(spark, sf)
-    d = d.persist()
+    d = stored(d, "pairs")
     return K.predict_top(K.Ranker(FEATURES, trees=8, depth=4).fit(K.sample_negatives(d)).score(d))
 
 
