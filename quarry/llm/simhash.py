@@ -156,7 +156,20 @@ def _contracted(labelled: DataFrame, triples: list[tuple[int, int, int]], max_bi
 
 
 def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -> DataFrame:
-    """(a, b): links among distinct fingerprints, given one (node long, fp binary) row each; components are those of all links.
+    """(a, b): links among distinct fingerprints, given one (node long, fp binary) row each; components are those of all links."""
+    labelled, between = _labels(reps, triples, max_bits)
+    return labelled.filter("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(between)
+
+
+def groups(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -> DataFrame:
+    """(node, root) of every (node, fp) of reps. Only links between labels go through the search for components."""
+    labelled, between = _labels(reps, triples, max_bits)
+    roots = common.connected_components(between).select(F.col("node").alias("label"), "root")
+    return labelled.select("node", "label").join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+
+
+def _labels(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(node, fp, label) and (a, b): links between labels.
 
     First, the lists of a few triples join large groups of near copies (`_contracted`), whose components are the labels
     of what follows. That goes through all lists and compares all members that differ in label, so no link between
@@ -176,12 +189,14 @@ def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -
         F.min("label").over(w).alias("low"),
         F.max("label").over(w).alias("high"),
         F.lag("node").over(ordered).alias("prev"),
+        F.lag("label").over(ordered).alias("prev_label"),
     ).filter("low < high and (n > 2 or prev is not null)")
     members = common.stored(members, "simhash-met")
-    short = _verified(members.filter("n = 2").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct(), reps, max_bits)
+    short = members.filter("n = 2").select(F.col("node").alias("a"), F.col("prev").alias("b"), F.col("label").alias("la"), F.col("prev_label").alias("lb")).distinct()
+    short = _verified(short, reps, max_bits).select(F.col("la").alias("a"), F.col("lb").alias("b"))
 
     def forest(batches):
-        for b in batches:  # Arrow: lists of one node and fingerprint each, of equal width
+        for b in batches:  # Arrow: lists of one label and fingerprint each, of equal width
             lists, out = b.column(0), []
             packed, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             if not len(packed):
@@ -190,7 +205,7 @@ def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -
             nodes, fp = np.ascontiguousarray(raw[:, :8]).view(">i8").ravel().astype(np.int64), np.ascontiguousarray(raw[:, 8:]).view(np.uint64)
             for i, j in zip(bounds[:-1], bounds[1:]):
                 out += _forest(nodes[i:j], fp[i:j], max_bits)
-            ends = np.array(out, np.int64).reshape(-1, 2)
+            ends = np.unique(np.array([x for x in out if x[0] != x[1]], np.int64).reshape(-1, 2), axis=0)
             yield pa.RecordBatch.from_pydict({"a": ends[:, 0], "b": ends[:, 1]})
 
     blocks = members.filter("n > 2")
@@ -199,15 +214,14 @@ def links(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int) -
     blocks = blocks.join(runs, ["key", "label"], "left").withColumn("block", F.expr(f"(at - 1) div {BLOCK}")).withColumn("last", F.expr(f"(n - 1) div {BLOCK}"))
     others = F.expr("case when block between lo and hi then filter(sequence(0, last), x -> x < lo or x > hi) else sequence(0, last) end")
     long = (
-        blocks.select("key", "node", "block", F.explode(others).alias("other"))
+        blocks.select("key", "node", "label", "block", F.explode(others).alias("other"))
         .join(reps.select("node", "fp"), "node")
         .groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .agg(F.collect_list(F.concat(F.unhex(F.lpad(F.hex("node"), 16, "0")), "fp")).alias("rows"))
+        .agg(F.collect_list(F.concat(F.unhex(F.lpad(F.hex("label"), 16, "0")), "fp")).alias("rows"))
         .select("rows")
         .mapInArrow(forest, "a long, b long")
     )
-    joined = labelled.filter("label < node").select(F.col("label").alias("a"), F.col("node").alias("b"))
-    return joined.unionByName(short).unionByName(long).distinct()
+    return labelled, short.unionByName(long).distinct()
 
 
 def components(docs: DataFrame, ngram: int = 3, n_bits: int = 64, max_bits: int = 3, triples: list[tuple[int, int, int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,8 +234,7 @@ def components(docs: DataFrame, ngram: int = 3, n_bits: int = 64, max_bits: int
     fps = common.stored(fingerprints(docs, ngram, n_bits, id_col, text_col), "simhash-fp")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id())
     reps = common.stored(reps, "simhash-reps")
-    comp = common.connected_components(links(reps.select("node", "fp"), triples or half_triples(), max_bits))
-    rooted = common.stored(reps.join(comp, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root")), "simhash-roots")
+    rooted = common.stored(reps.join(groups(reps.select("node", "fp"), triples or half_triples(), max_bits), "node").select("fp", "low", "root"), "simhash-roots")
     label = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(label, "fp")
 
