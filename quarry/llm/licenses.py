@@ -67,24 +67,27 @@ def unknown_idf() -> float:
 
 
 def headers(docs: DataFrame) -> DataFrame:
-    """(key, line, block): distinct candidate lines of docs (key, text), and paragraphs of several lines (block)."""
+    """(key, line, block, line_id, n): distinct candidate lines of docs (key, text), and paragraphs of several lines (block)."""
     mark = lambda block: lambda x: F.struct(x.alias("line"), F.lit(block).alias("block"))
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(TALK)), mark(False))
     blocks = F.transform(F.filter(F.split("text", PARAGRAPH), lambda x: x.rlike(TALK) & x.contains("\n")), mark(True))
-    return docs.filter(F.col("text").rlike(TALK)).select("key", F.explode(F.array_distinct(F.concat(lines, blocks))).alias("h")).select("key", "h.*")
+    return docs.filter(F.col("text").rlike(TALK)).select("key", F.explode(F.array_distinct(F.concat(lines, blocks))).alias("h")).select("key", "h.*", F.xxhash64("h.line", F.length("h.line")).alias("line_id"), F.length("h.line").alias("n"))
 
 
 def score(lines: DataFrame) -> DataFrame:
-    """(line, license, score) of the best template of each distinct line, whatever its score."""
+    """(line_id, license, score) of the best template of each distinct line, whatever its score. lines: (line_id, line).
+
+    Tokens carry the line's id, not its text, so a long paragraph costs no more than its distinct tokens.
+    """
     spark = lines.sparkSession
     table = F.broadcast(spark.createDataFrame(weights(), "template int, license string, token string, idf double, unit double"))  # a few hundred rows
-    tokens = lines.select("line").distinct().select("line", F.explode(F.filter(F.split(F.lower("line"), TOKEN_BREAKS), lambda t: t != "")).alias("token")).groupBy("line", "token").agg(F.count("*").alias("n"))
+    tokens = lines.select("line_id", "line").dropDuplicates(["line_id"]).select("line_id", F.explode(F.filter(F.split(F.lower("line"), TOKEN_BREAKS), lambda t: t != "")).alias("token")).groupBy("line_id", "token").agg(F.count("*").alias("n"))
     idf = F.broadcast(spark.createDataFrame(sorted({(t, w) for _, _, t, w, _ in weights()}), "token string, idf double"))
-    weighed = tokens.join(idf, "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unknown_idf()))).select("line", "token", "w")
-    norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(table.select("template", "license", "token", "unit"), "token").groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
-    best = dots.groupBy("line").agg(F.max(F.struct("dot", (-F.col("template")).alias("t"), "license")).alias("b"))
-    return best.join(norms, "line").select("line", F.col("b.license").alias("license"), F.round(F.col("b.dot") / F.col("norm"), 6).alias("score"))
+    weighed = tokens.join(idf, "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unknown_idf()))).select("line_id", "token", "w")
+    norms = weighed.groupBy("line_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(table.select("template", "license", "token", "unit"), "token").groupBy("line_id", "template", "license").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
+    best = dots.groupBy("line_id").agg(F.max(F.struct("dot", (-F.col("template")).alias("t"), "license")).alias("b"))
+    return best.join(norms, "line_id").select("line_id", F.col("b.license").alias("license"), F.round(F.col("b.dot") / F.col("norm"), 6).alias("score"))
 
 
 def scan(docs: DataFrame, path: Column, file_share: float = FILE_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,10 +102,10 @@ def scan(docs: DataFrame, path: Column, file_share: float = FILE_SHARE, id_col:
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), path.alias("path"))
     d = d.withColumn("key", F.xxhash64("doc_id", "path", "text"))
     lines = common.stored(headers(d), "license-lines")
-    scored = lines.join(score(lines), "line").filter(F.col("score") >= MIN_COSINE)
+    scored = lines.select("key", "line_id", "block", "n").join(score(lines), "line_id").filter(F.col("score") >= MIN_COSINE)
     # A key's lines are those of equal rows; distinct before counting their characters.
-    chars = F.greatest(F.sum(F.when(F.col("block"), 0).otherwise(F.length("line"))), F.max(F.when(F.col("block"), F.length("line")).otherwise(0)))
-    own = scored.select("key", "line", "block", "license", "score").distinct().groupBy("key").agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("own"), chars.alias("chars"))
+    chars = F.greatest(F.sum(F.when(F.col("block"), 0).otherwise(F.col("n"))), F.max(F.when(F.col("block"), F.col("n")).otherwise(0)))
+    own = scored.select("key", "line_id", "block", "n", "license", "score").distinct().groupBy("key").agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("own"), chars.alias("chars"))
     own = common.stored(own, "license-own")
     base = d.select("doc_id", "path", "key", F.length("text").alias("n_chars"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
     base = base.withColumn("dir", F.when(F.col("path").contains("/"), F.col("dir")).when(F.col("path").isNotNull(), F.lit("")))
