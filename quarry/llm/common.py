@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -49,9 +50,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of finished steps, which it does when the driver's JVM collects garbage."""
+    """Has Spark delete the shuffle files of finished steps, which it does when the driver's JVM collects garbage.
+
+    No variable may hold a frame of those steps. A plan is still referenced for a moment after its job, so one
+    collection finds nothing: a second one follows.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.5, 0.5):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def fresh(df: DataFrame, name: str) -> str:
