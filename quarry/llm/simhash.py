@@ -224,17 +224,20 @@ def _labels(reps: DataFrame, triples: list[tuple[int, int, int]], max_bits: int)
     return labelled, short.unionByName(long).distinct()
 
 
-def components(docs: DataFrame, ngram: int = 3, n_bits: int = 64, max_bits: int = 3, triples: list[tuple[int, int, int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, ngram: int = 3, n_bits: int = 64, max_bits: int = 3, triples: list[tuple[int, int, int]] | None = None, id_col: str = "doc_id", text_col: str = "text", wordless_links: bool = True) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
-    Equal fingerprints count as linked. Null and wordless texts have the zero fingerprint and link like any other.
+    Equal fingerprints count as linked. Null and wordless texts have the zero fingerprint; they link like any other, or
+    without wordless_links among themselves only.
     Repeated rows repeat in the result. Rows with a null id get their fingerprint and their component and link others,
     but never name one; a component of such rows alone is null. Empty input: empty result. Other columns are ignored.
     """
     fps = common.stored(fingerprints(docs, ngram, n_bits, id_col, text_col), "simhash-fp")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id())
     reps = common.stored(reps, "simhash-reps")
-    rooted = common.stored(reps.join(groups(reps.select("node", "fp"), triples or half_triples(), max_bits), "node").select("fp", "low", "root"), "simhash-roots")
+    linkable = reps.select("node", "fp").filter(F.lit(wordless_links) | (F.col("fp") != F.lit(bytes(n_bits // 8))))
+    rooted = reps.join(groups(linkable, triples or half_triples(), max_bits), "node", "left")
+    rooted = common.stored(rooted.select("fp", "low", F.coalesce("root", "node").alias("root")), "simhash-roots")
     label = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(label, "fp")
 
@@ -253,9 +256,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs without the rows whose group holds a smaller doc_id.
 
     A group: documents connected by links of at least 0.8 equal bits of 512-bit fingerprints of five-word shingles.
-    Rows that repeat one doc_id count as one document and stay together; rows with a null id stay.
+    Texts without words are copies of each other and near no other. Rows that repeat one doc_id count as one document
+    and stay together; rows with a null id stay.
     """
     triples = spread_triples(STAGE["n_bits"] // 8, 192)
-    comp = components(docs, STAGE["ngram"], STAGE["n_bits"], STAGE["max_bits"], triples, id_col, text_col)
+    comp = components(docs, STAGE["ngram"], STAGE["n_bits"], STAGE["max_bits"], triples, id_col, text_col, wordless_links=False)
     gone = comp.filter("doc_id > component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")
