@@ -15,7 +15,7 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 
 
 #: Rows and bytes that go to a Python worker at once; texts can be long.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "250", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
