@@ -70,16 +70,25 @@ class Ranker:
         return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(self.features))], outputCol="features").transform(filled)
 
     def fit(self, df: DataFrame, validation: str | None = None) -> Ranker:
-        """df has label, the features, maybe weight, maybe a boolean column that marks validation rows (early stopping)."""
+        """df has label, the features, maybe weight, maybe a boolean column that marks validation rows (early stopping).
+
+        Without a row nothing can be learnt: all pairs then score 0.
+        """
         d = df.withColumn("label", F.col("label").cast("double"))
         if "weight" not in d.columns:
             d = d.withColumn("weight", F.lit(1.0))
         if validation:
             self.gbt.setValidationIndicatorCol(validation)
-        self.model = self.gbt.fit(self._assembled(d))
+        self.model = None if d.isEmpty() else self.gbt.fit(self._assembled(d))
         return self
 
+    @property
+    def trees(self) -> int:
+        return self.model.getNumTrees if self.model else 0
+
     def score(self, df: DataFrame) -> DataFrame:
+        if self.model is None:
+            return df.withColumn("score", F.lit(0.0))
         out = self.model.transform(self._assembled(df))
         return out.select(*df.columns, F.round(vector_to_array("probability")[1], C.DECIMALS).alias("score"))
 

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import channels as C, instances as I
+import pytest
+
+from quarry.operators import analysis as A, channels as C, instances as I
+from quarry.plans import more
 
 TRAIN = "query string, location long, filters string, category int, delivery boolean, item_id string"
 
@@ -27,3 +30,22 @@ def test_logs_sum_by_item_without_a_second_exchange(spark):
     got = {r["item_id"]: r["score"] for r in d.collect()}
     assert got == {"i1": 1.098612, "i2": 0.346574}
     assert not any("hashpartitioning(qid" in x and "item_id" in x for x in plan(d, "executedPlan").splitlines())
+
+
+@pytest.mark.parametrize("parts", [(), ("train",), ("stop",), ("choose",), ("train", "stop", "choose")])
+def test_training_where_few_queries_have_a_relevant_pair(spark, parts):
+    at = spark.range(60).select(F.concat(F.lit("q"), "id").alias("qid")).withColumn("u", I.share_of(21, "qid")).collect()
+    part = {r["qid"]: "train" if r["u"] < 0.6 else "stop" if r["u"] < 0.8 else "choose" for r in at}
+    rows = [(q, f"i{k}", int(k == 0 and p in parts), k + 1, float(k)) for q, p in part.items() for k in range(4)]
+    pairs = spark.createDataFrame(rows, "qid string, item_id string, label int, rrf_rank long, f double")
+    truth = pairs.filter("item_id = 'i0'").select("qid", "item_id")
+    ranker, best = A.train(pairs, truth, ["f"], [{"trees": 2, "depth": 1}], k=1)
+    assert best["recall"] == 1.0 and ranker.score(pairs).count() == len(rows)
+    assert (ranker.model is None) == (not parts) and (best["trees"] > 0) == bool({"train", "stop"} & set(parts))
+
+
+def test_rerank_pairs_makes_the_instances_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(I, "build_instances", lambda t, f=I.build_instances: calls.append(1) or f(t))
+    more.o146(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
