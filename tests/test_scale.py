@@ -151,9 +151,14 @@ def test_given_pairs_are_sorted_without_the_queries_vectors(spark, monkeypatch):
     assert plan(d, "sparkPlan").count("BroadcastHashJoin") == 3
 
 
-def test_filters_of_few_queries_are_not_sorted_with_the_pairs(spark):
-    side = spark.createDataFrame([("q", "Key a")], "qid string, filters string")
-    items = spark.createDataFrame([("i", "Key a"), ("j", None)], "item_id string, params string")
-    d = P.filter_features(spark.createDataFrame([("q", "i"), ("q", "j")], "qid string, item_id string"), side, items, {"Key": "k"}, ["Key"])
-    assert {(r["item_id"], r["flt_k"], r["flt_match"], r["flt_miss"]) for r in d.collect()} == {("i", 1, 1, 0), ("j", 0, 0, 1)}
-    assert "SortMergeJoin" not in plan(d, "sparkPlan")
+def test_filters_are_compared_once_a_combination(spark, monkeypatch):
+    side = spark.createDataFrame([("q", "Key a"), ("r", None), ("s", "Key b Key a")], "qid string, filters string")
+    items = spark.createDataFrame([("i", "Key a"), ("j", None), ("k", "Key b")], "item_id string, params string")
+    pairs = spark.createDataFrame([(q, i) for q in ("q", "r", "s", "unknown") for i in ("i", "j", "k", "unknown")], "qid string, item_id string")
+    want = {(q, i, v, int(v == 1), int(v == 0)) for q, hits in (("q", "i"), ("r", None), ("s", "ik"), ("unknown", None)) for i in ("i", "j", "k", "unknown") for v in [None if hits is None else int(i in hits)]}
+    for most in (0, 1_000_000):
+        monkeypatch.setattr(P, "COMBINATIONS", most, raising=False)
+        d = P.filter_features(pairs, side, items, {"Key": "k"}, ["Key"])
+        assert d.columns == ["item_id", "qid", "flt_k", "flt_match", "flt_miss"]
+        assert {(r["qid"], r["item_id"], *r[2:]) for r in d.collect()} == want
+    assert "SortMergeJoin" not in (text := plan(d, "sparkPlan")) and "[_f#" in text
